@@ -7,13 +7,54 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing, percentiles, sentences, tokens
+from quern.llm import addresses, mixing, names, packing, percentiles, sentences, tokens
 from quern.session import cut_lineage
 from quern.sources.tables import table
 
 SHARES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+def _records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Customers and suppliers together, under keys such as c:ABCDE and s:12."""
+    c = table(spark, folder, "customers").select(F.concat(F.lit("c:"), "customerID").alias("key"), *columns)
+    s = table(spark, folder, "suppliers").select(F.concat(F.lit("s:"), F.col("supplierID").cast("string")).alias("key"), *columns)
+    return c.unionByName(s).where(F.col("key").isNotNull())
+
+
+def _name_records(spark: SparkSession, folder: str) -> DataFrame:
+    firms = _records(spark, folder, "companyName").select(F.lit("company").alias("name_kind"), "key", F.col("companyName").alias("name"))
+    persons = _records(spark, folder, "contactName").where(F.col("key").startswith("c:")).select(F.lit("contact").alias("name_kind"), "key", F.col("contactName").alias("name"))
+    given = firms.unionByName(persons)
+    return given.where(F.col("name").isNotNull() & (F.col("name") != "NULL")).distinct()
+
+
+def _name_members(spark: SparkSession, folder: str) -> DataFrame:
+    records = cut_lineage(_name_records(spark, folder))
+    return cut_lineage(names.class_members(records, names.link_names(records)))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.class_pairs(_name_members(spark, folder))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record: its class and number of links."""
+    return _name_members(spark, folder)
+
+
+def _place_members(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(addresses.link_addresses(_records(spark, folder, "address", "city", "postalCode")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.place_pairs(_place_members(spark, folder))
+
+
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record with a readable address: its class and number of links."""
+    return _place_members(spark, folder)
+
+
 def _percentiles(spark: SparkSession, folder: str, name: str, group: str, value: str, rel_error: float = 0.0) -> DataFrame:
     """Daily summaries, combined, and the percentiles of all days."""
     daily = percentiles.summarise(table(spark, folder, name), group, value, F.to_date("loaded_at"), rel_error)
@@ -21,6 +62,15 @@ def _percentiles(spark: SparkSession, folder: str, name: str, group: str, value:
     return found.withColumnRenamed("grp", group)
 
 
+def p4_day_and_total_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the summaries kept per day: percentiles of each day, and (null day) of all days combined."""
+    daily = cut_lineage(percentiles.summarise(table(spark, folder, "emp"), "emp_dept_id", "salary", F.to_date("loaded_at")))
+    every = percentiles.combine(daily).withColumn("period", F.lit(None).cast("date"))
+    both = daily.unionByName(every).select(F.struct("period", F.col("grp").alias("dept")).alias("grp"), "val", "n")
+    found = percentiles.percentiles(both, SHARES)
+    return found.select(F.date_format("grp.period", "yyyy-MM-dd").alias("load_day"), F.col("grp.dept").alias("emp_dept_id"), "percentile", "value", "group_rows")
+
+
 def p4_salary_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return _percentiles(spark, folder, "emp", "emp_dept_id", "salary")
 
@@ -99,6 +149,11 @@ def _percentile_sql(name: str, group: str, value: str) -> str:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p7_found": p7_found,
+    "p7_classes": p7_classes,
+    "p4_day_and_total_percentiles": p4_day_and_total_percentiles,
     "p4_salary_percentiles": p4_salary_percentiles,
     "p4_price_percentiles": p4_price_percentiles,
     "p4_salary_within_1_percent": p4_salary_within_1_percent,
@@ -110,7 +165,15 @@ QUERIES = {
     "p10_found": p10_found,
 }
 
+_DAYS_SQL = " UNION ALL ".join(
+    f"""SELECT strftime(CAST(loaded_at AS DATE), '%Y-%m-%d') AS load_day, emp_dept_id, CAST({p} AS DOUBLE) AS percentile,
+               round(quantile_cont(salary, {p}), 6) AS value, CAST(count(salary) AS BIGINT) AS group_rows
+        FROM emp WHERE salary IS NOT NULL GROUP BY GROUPING SETS ((CAST(loaded_at AS DATE), emp_dept_id), (emp_dept_id))"""
+    for p in SHARES
+)
+
 ORACLE_SQL = {
+    "p4_day_and_total_percentiles": _DAYS_SQL,
     "p4_salary_percentiles": _percentile_sql("emp", "emp_dept_id", "salary"),
     "p4_price_percentiles": _percentile_sql("products", "categoryID", "unitPrice"),
     "p4_daily_summaries": """SELECT strftime(loaded_at, '%Y-%m-%d') AS load_day, emp_dept_id, salary, CAST(count(*) AS BIGINT) AS n
