@@ -1,0 +1 @@
+"""Names of the dialect's types and functions."""

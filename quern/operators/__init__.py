@@ -1,0 +1 @@
+"""Data operators over DataFrames."""

@@ -1,0 +1 @@
+"""Tables: registered by scripts, or read from a data folder."""

@@ -1,0 +1 @@
+"""The dialect has no streaming constructs; scripts are batch jobs."""
