@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut_lineage
+from quern.session import cut_lineage, shuffled
 
 
 def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -30,11 +30,11 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: neighbours above u are linked to the least of u's neighbourhood
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(shuffled(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its neighbours below are linked to the least of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(shuffled(low), "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where(F.col("u") != F.col("v"))

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
-from quern.session import cut_lineage, partitions_for
+from quern.session import cut_lineage, partitions_for, shuffled
 
 RESULT = "node long, parent long, root_id long, tree_depth int, path_ids string, descendants long, is_back_edge boolean"
 WHITE, GREY, BLACK = 0, 1, 2
@@ -101,12 +101,12 @@ def _settle(state: DataFrame) -> DataFrame:
     """Double the pointers ``up`` until only lines that never end keep one."""
     open_rows = None
     while True:
-        hop = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+        hop = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
         state = cut_lineage(
-            state.join(hop, "up", "left").select(
+            state.join(shuffled(hop), "up", "left").select(
                 "node",
                 "parent",
-                F.when(F.col("up").isNull(), F.col("top")).otherwise(F.coalesce("up2", "up")).alias("top"),
+                F.coalesce("top2", "top").alias("top"),
                 F.col("up2").alias("up"),
                 (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
                 F.least("low", "low2").alias("low"),
@@ -124,7 +124,7 @@ def _cycle_low(endless: DataFrame) -> DataFrame:
     state, before = endless.select("node", F.col("parent").alias("up"), F.least("node", "parent").alias("low")), None
     while True:
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        state = cut_lineage(state.join(hop, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")))
+        state = cut_lineage(state.join(shuffled(hop), "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")))
         # pointers that reach as many nodes as before are on the cycles; their minima
         # then cover whole cycles once another round changes none
         now = tuple(state.agg(F.countDistinct("up"), F.sum(F.col("low").cast("decimal(38,0)"))).first())
@@ -132,29 +132,29 @@ def _cycle_low(endless: DataFrame) -> DataFrame:
             break
         before = now
     on_cycle = state.select(F.col("up").alias("node")).distinct()
-    return on_cycle.join(state.select("node", "low"), "node").where(F.col("node") == F.col("low")).select("node")
+    return on_cycle.join(shuffled(state.select("node", "low")), "node").where(F.col("node") == F.col("low")).select("node")
 
 
 def double_pointers(nodes: DataFrame) -> DataFrame:
     """The result of ``walk`` for components of any size, by pointer doubling."""
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("__known"))
     up = F.when(F.col("__known"), F.col("parent"))
-    links = cut_lineage(nodes.join(known, "parent", "left").select("node", "parent", up.alias("up")))
+    links = cut_lineage(nodes.join(shuffled(known), "parent", "left").select("node", "parent", up.alias("up")))
     steps = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
     state = _settle(links.select("node", "parent", "up", F.coalesce("up", "node").alias("top"), steps.alias("steps"), F.least("node", "up").alias("low")))
     ended = state.where(F.col("up").isNull()).select("node", "parent", "top", "steps")
-    paths = cut_lineage(ended.join(links.select("node", "up"), "node").select("node", "parent", "up", "top", "steps", F.col("node").cast("string").alias("path")))
+    paths = cut_lineage(ended.join(shuffled(links.select("node", "up")), "node").select("node", "parent", "up", "top", "steps", F.col("node").cast("string").alias("path")))
     while paths.where(F.col("up").isNotNull()).limit(1).count():
         hop = paths.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         paths = cut_lineage(
-            paths.join(hop, "up", "left").select("node", "parent", F.col("up2").alias("up"), "top", "steps", F.concat_ws("/", "path2", "path").alias("path"))
+            paths.join(shuffled(hop), "up", "left").select("node", "parent", F.col("up2").alias("up"), "top", "steps", F.concat_ws("/", "path2", "path").alias("path"))
         )
     below = (
         paths.select(F.explode(F.split("path", "/")).alias("a"))
         .groupBy(F.col("a").cast("long").alias("node"))
         .agg((F.count(F.lit(1)) - 1).alias("descendants"))
     )
-    tree = paths.join(below, "node").select(
+    tree = paths.join(shuffled(below), "node").select(
         "node",
         "parent",
         F.col("top").alias("root_id"),
@@ -165,7 +165,7 @@ def double_pointers(nodes: DataFrame) -> DataFrame:
     )
     endless = cut_lineage(state.where(F.col("up").isNotNull()).select("node", "parent"))
     closing = _cycle_low(endless).withColumn("__back", F.lit(True))
-    loop = endless.join(closing, "node", "left").select(
+    loop = endless.join(shuffled(closing), "node", "left").select(
         "node",
         "parent",
         F.lit(-1).cast("long").alias("root_id"),
@@ -198,18 +198,18 @@ def hierarchy(df: DataFrame, node: str, parent: str, max_component_rows: int = 2
         .agg(F.min("parent").alias("parent"))
     )
     ids = nodes.select(F.col("node").alias("parent"))
-    found = connected_components(nodes.join(ids, "parent", "left_semi"), "node", "parent")
-    placed = cut_lineage(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    found = connected_components(nodes.join(shuffled(ids), "parent", "left_semi"), "node", "parent")
+    placed = cut_lineage(nodes.join(shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node")))
     sizes = placed.groupBy("component").count()
     large = sizes.where(F.col("count") > max_component_rows).select("component")
     rows = placed.count()
     has_large = bool(large.limit(1).count())
-    small = placed.join(large, "component", "left_anti") if has_large else placed
+    small = placed.join(shuffled(large), "component", "left_anti") if has_large else placed
     tasks = partitions_for(rows, rows_per_task)
     walked = small.repartition(tasks, "component").select("node", "parent").mapInPandas(_walk_partition, RESULT)
     if not has_large:
         return walked
-    return walked.unionByName(double_pointers(placed.join(large, "component", "left_semi").select("node", "parent")))
+    return walked.unionByName(double_pointers(placed.join(shuffled(large), "component", "left_semi").select("node", "parent")))
 
 
 def descendants(tree: DataFrame) -> DataFrame:

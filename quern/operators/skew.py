@@ -72,15 +72,15 @@ def skew_join(
     these are at most ``broadcast_rows`` (counted first); beyond that both sides
     are salted: left rows get one of ``salts`` numbers, right rows all of them.
     Other keys go through an ordinary shuffled join, and both parts are united.
-    Null keys match nothing. Columns of both sides must differ in name, but for
-    the key itself when ``right_key`` is not given.
+    Null keys match nothing. Right columns whose names are on the left, too, get
+    the suffix ``_right``; the key comes once when ``right_key`` isn't given.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     other = right_key or key
-    clash = (set(left.columns) & set(right.columns)) - ({key} if other == key else set())
-    if clash:
-        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    taken = set(left.columns) - ({key} if other == key else set())
+    right = right.select(*[right[c].alias(f"{c}_right" if c in taken else c) for c in right.columns])
+    other = f"{other}_right" if other in taken else other
     hot = heavy_key_list(left, key, share)
     hot_left, cold_left = split_by_heavy(left, key, hot)
     hot_right, cold_right = split_by_heavy(right, other, hot)

@@ -45,6 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a side of a join as of unknown size, so that it is never broadcast.
+
+    Spark guesses sizes of checkpointed and Python-made tables from their inputs,
+    which may be far too low.
+    """
+    return df.hint("merge")
+
+
 def partitions_for(rows: int, rows_per_task: int, least: int = 1) -> int:
     """Number of tasks when each shall hold about ``rows_per_task`` rows."""
     return max(least, -(-rows // rows_per_task))
