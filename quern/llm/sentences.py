@@ -322,7 +322,9 @@ def _stops(text: str, kinds: np.ndarray, stops: list[int], small: bool) -> None:
                 plain.append(p)
             continue
         bare = word.lower().lstrip("-–—")
-        if after.isalpha():
+        if bare and ("\u0900" <= bare[-1] <= "\u097f" or "\u0e00" <= bare[-1] <= "\u0e7f"):
+            plain.append(p)  # scripts whose sentences end otherwise
+        elif after.isalpha():
             # no blank follows: a sentence end only between a word and a capital, or between words in small text
             second = text[p + 2 : p + 3]
             if len(bare) < 2 or "." in bare or second == "." or bare in ABBREVIATIONS or not (bare[-1].isalnum() or unicodedata.category(bare[-1])[0] == "M"):
@@ -339,8 +341,6 @@ def _stops(text: str, kinds: np.ndarray, stops: list[int], small: bool) -> None:
             last = bare[-1]
             if len(bare) < 10 and (bare in ABBREVIATIONS or (last.isalpha() and all(len(x) <= 1 for x in bare.replace("-", ".").split(".")))):
                 plain.append(p)
-            elif "\u0900" <= last <= "\u097f":
-                plain.append(p)
     kinds[plain] = PLAIN
 
 
@@ -428,7 +428,7 @@ def _classify(text: str) -> np.ndarray:
             kinds[m.start(1)] = GAP
     for a, b in whole:
         body = kinds[a:b]
-        body[(body != SPACE) & (body != SKIP) & (body != GAP)] = PLAIN
+        body[(body != SPACE) & (body != SKIP) & (body != GAP) & (body != BREAK)] = PLAIN
         body[body == GAP] = SPACE
     return kinds
 
