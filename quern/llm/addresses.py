@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quern.llm.editjoin import distances
 from quern.llm.names import fold
 from quern.operators.components import connected_components
-from quern.session import cut_lineage
+from quern.session import cut_lineage, shuffled
 
 #: Least cosine of the street n-grams of candidates: one edit in a street of six letters keeps it.
 LEAST_COSINE = 0.3
@@ -181,14 +181,14 @@ def link_addresses(addresses: DataFrame, least_cosine: float = LEAST_COSINE) ->
     both = read.where((F.col("town") != "") & (F.col("code") != "")).groupBy("code", "town").agg(F.count(F.lit(1)).alias("n"))
     usual = both.groupBy("code").agg(F.max_by("town", F.struct("n", "town")).alias("usual"))
     read = cut_lineage(
-        read.join(usual, "code", "left").withColumn("town", F.when(F.col("town") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("town"))).select("key", *fields)
+        read.join(shuffled(usual), "code", "left").withColumn("town", F.when(F.col("town") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("town"))).select("key", *fields)
     )
     nodes = cut_lineage(read.select(*fields).distinct().withColumn("id", F.xxhash64(*fields)))
     streets = nodes.select("street", "number").distinct()
     spelled = cut_lineage(_with_grams(streets.select("street").distinct()))
     total = spelled.select("street").distinct().count()
     weights = spelled.groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
-    weighed = spelled.join(weights, "gram")
+    weighed = spelled.join(shuffled(weights), "gram")
     by_street = Window.partitionBy("street")
     rare_first = by_street.orderBy(F.col("w").desc(), "gram")
     # the prefix ends where the rest can't reach the least cosine on its own
@@ -197,19 +197,19 @@ def link_addresses(addresses: DataFrame, least_cosine: float = LEAST_COSINE) ->
     spent = F.sum(F.col("u") * F.col("u")).over(rare_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("u") * F.col("u")
     prefix = scaled.withColumn("rest", 1 - spent).where(F.col("rest") >= F.lit(least_cosine**2)).select("street", "gram")
     # candidates share a prefix n-gram and the house number
-    entries = prefix.join(streets, "street").select("gram", "number", "street")
+    entries = prefix.join(shuffled(streets), "street").select("gram", "number", "street")
     other = entries.withColumnRenamed("street", "street_b")
-    met = entries.join(other, ["gram", "number"]).where(F.col("street") < F.col("street_b")).select("street", "street_b").distinct()
+    met = entries.join(shuffled(other), ["gram", "number"]).where(F.col("street") < F.col("street_b")).select("street", "street_b").distinct()
     vectors = scaled.groupBy("street").agg(F.map_from_entries(F.collect_list(F.struct("gram", "u"))).alias("v"))
     other_vectors = vectors.select(F.col("street").alias("street_b"), F.col("v").alias("v_b"))
     dot = F.aggregate(F.map_entries("v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("v_b", e["key"]), F.lit(0.0)))
-    similar = met.join(vectors, "street").join(other_vectors, "street_b").where(dot >= F.lit(least_cosine)).select("street", "street_b")
+    similar = met.join(shuffled(vectors), "street").join(shuffled(other_vectors), "street_b").where(dot >= F.lit(least_cosine)).select("street", "street_b")
     same = streets.select("street", F.col("street").alias("street_b")).distinct()
     pairs = cut_lineage(similar.unionByName(same))
     renamed = nodes.select(*[F.col(c).alias(f"{c}_b") for c in (*fields, "id")])
     candidates = (
-        nodes.join(pairs, "street")
-        .join(renamed.withColumnRenamed("number_b", "number"), ["street_b", "number"])
+        nodes.join(shuffled(pairs), "street")
+        .join(shuffled(renamed.withColumnRenamed("number_b", "number")), ["street_b", "number"])
         .where(F.col("id") != F.col("id_b"))
         .withColumn("number_b", F.col("number"))
     )
@@ -224,8 +224,8 @@ def link_addresses(addresses: DataFrame, least_cosine: float = LEAST_COSINE) ->
     links = cut_lineage(candidates.mapInPandas(verify, "src long, dst long").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     classes = connected_components(links).withColumnRenamed("node", "id")
     degree = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    labelled = nodes.join(classes, "id", "left").join(degree, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return read.withColumn("id", F.xxhash64(*fields)).select("key", "id").join(labelled, "id").select("key", "class_id", "links").distinct()
+    labelled = nodes.join(shuffled(classes), "id", "left").join(shuffled(degree), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return read.withColumn("id", F.xxhash64(*fields)).select("key", "id").join(shuffled(labelled), "id").select("key", "class_id", "links").distinct()
 
 
 def _with_grams(streets: DataFrame) -> DataFrame:
@@ -241,4 +241,4 @@ def place_pairs(members: DataFrame) -> DataFrame:
     """All pairs of different records of a class, the smaller key first."""
     a = members.select("class_id", F.col("key").alias("key_a"))
     b = members.select("class_id", F.col("key").alias("key_b"))
-    return a.join(b, "class_id").where(F.col("key_a") < F.col("key_b")).select("key_a", "key_b").distinct()
+    return a.join(shuffled(b), "class_id").where(F.col("key_a") < F.col("key_b")).select("key_a", "key_b").distinct()

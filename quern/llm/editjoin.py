@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut_lineage
+from quern.session import cut_lineage, shuffled
 
 #: A segment in more index strings than this is refined by a second segment.
 HOT_SEGMENT = 50
@@ -147,16 +147,16 @@ def edit_join(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     entries = cut_lineage(index.select("id", "s").mapInPandas(_keyed(index_keys, k, "s"), schema("id", "s", "key", "rest")))
     sought = probes.select("probe_id", "t").mapInPandas(_keyed(probe_keys, k, "t"), schema("probe_id", "t", "key", "rest"))
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("entries"))
-    sought = cut_lineage(sought.join(counts, "key"))
+    sought = cut_lineage(sought.join(shuffled(counts), "key"))
     hot_keys = counts.where(F.col("entries") > HOT_SEGMENT).select("key")
-    cold = sought.where(F.col("entries") <= HOT_SEGMENT).select("probe_id", "t", "key").join(entries.select("id", "s", "key"), "key")
+    cold = sought.where(F.col("entries") <= HOT_SEGMENT).select("probe_id", "t", "key").join(shuffled(entries.select("id", "s", "key")), "key")
     found = [cold.select("id", "s", "probe_id", "t")]
     if hot_keys.limit(1).count():
-        hot_entries = entries.join(hot_keys, "key", "left_semi").select("id", "s", "key", "rest")
+        hot_entries = entries.join(shuffled(hot_keys), "key", "left_semi").select("id", "s", "key", "rest")
         hot_sought = sought.where(F.col("entries") > HOT_SEGMENT).select("probe_id", "t", "key", "rest")
         second_i = hot_entries.mapInPandas(_keyed(index_keys, k, "rest", True), schema("id", "s", "key", "rest"))
         second_p = hot_sought.mapInPandas(_keyed(probe_keys, k, "rest", True), schema("probe_id", "t", "key", "rest"))
-        found.append(second_p.select("probe_id", "t", "key").join(second_i.select("id", "s", "key"), "key").select("id", "s", "probe_id", "t"))
+        found.append(second_p.select("probe_id", "t", "key").join(shuffled(second_i.select("id", "s", "key")), "key").select("id", "s", "probe_id", "t"))
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

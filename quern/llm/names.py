@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.editjoin import distances, edit_join
 from quern.operators.components import connected_components
-from quern.session import cut_lineage
+from quern.session import cut_lineage, shuffled
 
 # Legal forms, without stops.
 LEGAL = frozenset(
@@ -293,7 +293,7 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     for kind in KINDS:
         own = full.where(F.col("name_kind") == kind)
         probes = own.select(F.col("id").alias("probe_id"), F.explode("forms").alias("t"))
-        same = own.join(probes.withColumnRenamed("t", "core"), "core").where(F.col("id") != F.col("probe_id"))
+        same = own.join(shuffled(probes.withColumnRenamed("t", "core")), "core").where(F.col("id") != F.col("probe_id"))
         near = edit_join(own.select("id", F.col("core").alias("s")), probes, k).where(F.col("distance") <= 2)
         a = own.select("id", F.col("parts").alias("a_parts"), F.col("trade").alias("a_trade"))
         b = own.select(F.col("id").alias("probe_id"), F.col("parts").alias("b_parts"), F.col("trade").alias("b_trade"))
@@ -303,18 +303,18 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
                 ok = [_accept(kind, *x) for x in zip(p.a_parts, p.b_parts, p.a_trade, p.b_trade, p.distance)]
                 yield p.loc[np.array(ok, bool), ["id", "probe_id"]]
 
-        edges.append(near.join(a, "id").join(b, "probe_id").mapInPandas(check, "id long, probe_id long"))
+        edges.append(near.join(shuffled(a), "id").join(shuffled(b), "probe_id").mapInPandas(check, "id long, probe_id long"))
         edges.append(same.select("id", "probe_id"))
     links = edges[0]
     for e in edges[1:]:
         links = links.unionByName(e)
     links = cut_lineage(links.select(F.least("id", "probe_id").alias("src"), F.greatest("id", "probe_id").alias("dst")).distinct())
-    classes = cut_lineage(nodes.select("id").join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class_id")))
+    classes = cut_lineage(nodes.select("id").join(shuffled(connected_components(links).withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("class_id")))
 
     # shortened names: by the whole word, then the shortened one
     more = []
     for kind in KINDS:
-        own = full.where((F.col("name_kind") == kind) & (F.size("parts") > 1)).join(classes, "id")
+        own = full.where((F.col("name_kind") == kind) & (F.size("parts") > 1)).join(shuffled(classes), "id")
         n = F.size("parts")
         first = F.struct(F.element_at("parts", 1).alias("word"), F.array_join(F.slice("parts", F.lit(2), n - 1), "").alias("other"))
         last = F.struct(F.element_at("parts", -1).alias("word"), F.array_join(F.slice("parts", F.lit(1), n - 1), "").alias("other"))
@@ -323,7 +323,7 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
         vocabulary = words.select(F.col("word").alias("s")).distinct().withColumn("id", F.xxhash64("s"))
         wanted = cut_names.select(F.col("whole").alias("t")).distinct().withColumn("probe_id", F.xxhash64("t") + F.lit(1))
         near = edit_join(vocabulary, wanted, 2).where(F.col("distance") <= 1)
-        by_word = near.join(vocabulary, "id").join(wanted, "probe_id").select("s", "t", "distance")
+        by_word = near.join(shuffled(vocabulary), "id").join(shuffled(wanted), "probe_id").select("s", "t", "distance")
 
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
@@ -334,8 +334,8 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
                 yield p.loc[np.array(ok, bool), ["short_id", "class_id", "distance"]]
 
         found = (
-            cut_names.join(by_word, F.col("whole") == F.col("t"))
-            .join(words, F.col("s") == F.col("word"))
+            cut_names.join(shuffled(by_word), F.col("whole") == F.col("t"))
+            .join(shuffled(words), F.col("s") == F.col("word"))
             .select("short_id", "short", "class_id", "distance", "word", "other", "forms")
             .mapInPandas(match, "short_id long, class_id long, distance int")
         )
@@ -344,22 +344,22 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
         more.append(least.where(F.col("b.class_id") == F.col("b.other")).select(F.col("short_id").alias("id"), F.col("b.class_id").alias("joined")))
     joined = cut_lineage(more[0].unionByName(more[1]))
     # shortened names that lead to no class are joined among each other, by whole word and first letter
-    lone = nodes.where(F.col("short").isNotNull()).join(joined, "id", "left_anti")
+    lone = nodes.where(F.col("short").isNotNull()).join(shuffled(joined), "id", "left_anti")
     letter = F.substring("short", 1, 1)
     joined = joined.unionByName(lone.select("id", F.min("id").over(Window.partitionBy("name_kind", "whole", letter)).alias("joined")))
-    final = classes.join(joined, "id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"))
+    final = classes.join(shuffled(joined), "id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"))
     degree = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    labelled = nodes.select("id", "name_kind", "core").join(final, "id").join(degree, "id", "left")
-    return spelled.select("name_kind", "name", "core").join(labelled, ["name_kind", "core"]).select("name_kind", "name", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    labelled = nodes.select("id", "name_kind", "core").join(shuffled(final), "id").join(shuffled(degree), "id", "left")
+    return spelled.select("name_kind", "name", "core").join(shuffled(labelled), ["name_kind", "core"]).select("name_kind", "name", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def class_members(records: DataFrame, classes: DataFrame) -> DataFrame:
     """``name_kind``, ``key``, ``class_id``, ``links`` of each record with a name."""
-    return records.select("name_kind", "key", "name").distinct().join(classes, ["name_kind", "name"]).select("name_kind", "key", "class_id", "links")
+    return records.select("name_kind", "key", "name").distinct().join(shuffled(classes), ["name_kind", "name"]).select("name_kind", "key", "class_id", "links")
 
 
 def class_pairs(members: DataFrame) -> DataFrame:
     """All pairs of different records within a class, the smaller key first."""
     a = members.select("name_kind", "class_id", F.col("key").alias("key_a"))
     b = members.select("name_kind", "class_id", F.col("key").alias("key_b"))
-    return a.join(b, ["name_kind", "class_id"]).where(F.col("key_a") < F.col("key_b")).select("name_kind", "key_a", "key_b").distinct()
+    return a.join(shuffled(b), ["name_kind", "class_id"]).where(F.col("key_a") < F.col("key_b")).select("name_kind", "key_a", "key_b").distinct()

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import cut_lineage, partitions_for
+from quern.session import cut_lineage, partitions_for, shuffled
 
 
 def summarise(df: DataFrame, group: str, value: str, period: Column | None = None, rel_error: float = 0.0) -> DataFrame:
@@ -72,7 +72,7 @@ def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int
     )
     within = Window.partitionBy("grp", "pid").orderBy("val").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sorted_rows.withColumn("upto", F.sum("n").over(within))
-    placed = ranked.join(offsets, F.col("grp").eqNullSafe(F.col("g")) & (F.col("pid") == F.col("p"))).select(
+    placed = ranked.join(shuffled(offsets), F.col("grp").eqNullSafe(F.col("g")) & (F.col("pid") == F.col("p"))).select(
         "grp",
         "val",
         "group_rows",
