@@ -230,12 +230,13 @@ def list_entries(lines: list[str]) -> list[bool]:
     return out
 
 
-def wrapped_breaks(lines: list[str], entries: list[bool]) -> set[int]:
+def wrapped_breaks(lines: list[str], entries: list[bool], small: bool = False) -> set[int]:
     """Indices of lines whose line break is a hard wrap; empty for other pages.
 
-    A page is hard-wrapped if lines of like width go on where the next word
-    would not have fitted. A break after which the next word would have fitted,
-    or before a list entry, is a real one.
+    A page is hard-wrapped if lines that end inside a sentence are as long as
+    the next word allowed. A break after which that word would have fitted, with a
+    blank to spare, is a real one unless a small letter follows, and so is one
+    before a list entry. ``small`` says that small letters mean nothing.
     """
     signs, against, width = 0, 0, 0
     pairs = []
@@ -247,23 +248,27 @@ def wrapped_breaks(lines: list[str], entries: list[bool]) -> set[int]:
         n = len(a)
         if n > 90:
             against += 3
-        elif n >= 48 and len(b) <= 90 and not entries[i] and not entries[i + 1]:
-            if n + 1 + _first_word(b) > 68 and n <= 80:
-                if a.rstrip()[-1:] not in ".!?。！？»”\"؟।":
-                    signs += 2 if b[0].islower() else 1
-                    width = max(width, n)
+        elif n >= 48 and len(b) <= 90 and not entries[i + 1] and a.rstrip()[-1:] not in ENDS_LINE:
+            if n <= 80 and n + 1 + _first_word(b) > 68:
+                signs += 2 if _goes_on(b) and not small else 1
+                width = max(width, n)
             else:
                 against += 1
     if signs < 2 or signs < 2 * against:
         return set()
-    return {
-        i
-        for i in pairs
-        if len(lines[i]) + 1 + _first_word(lines[i + 1]) > width
-        and not entries[i + 1]
-        and not FOOTER.match(lines[i + 1])
-        and not FOOTER.match(lines[i])
-    }
+    out = set()
+    for i in pairs:
+        a, b = lines[i], lines[i + 1]
+        if entries[i + 1] or FOOTER.match(b) or FOOTER.match(a):
+            continue
+        fitted = len(a) + 2 + _first_word(b) <= width
+        if not fitted or (not small and len(a) > 40 and _goes_on(b) and a.rstrip()[-1:] not in ENDS_LINE):
+            out.add(i)
+    return out
+
+
+def _goes_on(line: str) -> bool:
+    return line[0].islower() and not line[1:2].isupper()
 
 
 THAI_GAP = re.compile("(?<=[ก-๛”»\"])[  ]+(?=[ก-๛“«\"])(?!\\s*(?:พ|ค)\\.ศ\\.)")
@@ -273,6 +278,7 @@ SINGLE_OPEN = re.compile(r"(?:(?<=\s)|(?<=^)|(?<=[(（:]))['‘](?=[\w¿¡])", r
 SINGLE_CLOSE = re.compile(r"(?<=[.!?。！？])['’](?!\w)")
 SPEECH_DASH = re.compile(r"(?<=[.!?…»\"”][ \n\u00a0])[—–-](?=[ \u00a0]([^\W\d_]))")
 KANA_ON = re.compile("[。！？][」』]?(?=[のをと])")
+ENDS_LINE = ".!?。！？»”\"؟।:"
 BEFORE_WORD = "([{«“„\"'’/,;:|·>»”)]"
 #: Longer than any abbreviation.
 LONG_WORD = 8
@@ -282,12 +288,14 @@ NEXT_WORD = re.compile(r"[\s ]*([^\W\d_]*)")
 def without_capitals(code: np.ndarray, kinds: np.ndarray) -> bool:
     """Whether sentences begin with small letters as a rule, as in text put in small letters."""
     capital = capitals()[np.minimum(code, 0xFFFF)]
-    ends = (kinds[1:-2] == STOP) & (kinds[2:-1] == SPACE) & ((kinds[:-3] == LOWER) | capital[:-3]) & ((kinds[3:] == LOWER) | capital[3:])
+    cased = (kinds == LOWER) | capital
+    # a word of three letters at least, a stop, a blank, a letter
+    ends = cased[:-5] & cased[1:-4] & cased[2:-3] & (kinds[3:-2] == STOP) & (kinds[4:-1] == SPACE) & cased[5:]
     found = int(ends.sum())
     if found < 2:
         upper, lower = int(capital.sum()), int((kinds == LOWER).sum())
         return upper + lower > 40 and upper < 0.01 * (upper + lower)
-    return 2 * int((ends & capital[3:]).sum()) < found
+    return 2 * int((ends & capital[5:]).sum()) < found
 
 
 def classify(text: str) -> np.ndarray:
@@ -352,7 +360,7 @@ def _classify(text: str) -> np.ndarray:
         return kinds
     if code.max() > 0xFFFF:
         kinds[code > 0xFFFF] = START
-    small = n > 3 and without_capitals(code, kinds)
+    small = n > 5 and without_capitals(code, kinds)
     lower = kinds == LOWER
     if small:
         kinds[lower] = START
@@ -362,7 +370,7 @@ def _classify(text: str) -> np.ndarray:
 
     lines = text.split("\n")
     entries = list_entries(lines)
-    soft = wrapped_breaks(lines, entries) if len(lines) > 1 else ()
+    soft = wrapped_breaks(lines, entries, small) if len(lines) > 1 else ()
     whole = []
     if any(entries) or soft or "©" in text or "(c)" in text:
         at, unprosaic = 0, False
