@@ -48,7 +48,7 @@ def combine(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("grp", "val").agg(F.sum("n").alias("n"))
 
 
-def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int = 2_000_000) -> DataFrame:
+def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int = 250_000) -> DataFrame:
     """``grp``, ``percentile``, ``value``, ``group_rows`` for every group and share.
 
     The percentile p of n values is the order statistic at position p * (n - 1),
