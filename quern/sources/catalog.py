@@ -83,7 +83,7 @@ class Catalog:
         frame = self._csv(path, header, separator, given.get("COLUMNS")) if kind == "CSV" else self.spark.read.parquet(path)
         if counts["PARTITIONS"] > 1:
             # a wish for parallel scans, met by smaller splits and never by a shuffle
-            least = max(counts["PARTITIONS"], int(self.spark.conf.get("spark.sql.files.minPartitionNum", "0") or 0))
+            least = max(counts["PARTITIONS"], int(self.spark.conf.get("spark.sql.files.minPartitionNum", "1") or 1))
             self.spark.conf.set("spark.sql.files.minPartitionNum", str(least))
         return self._register(Table(name, kind, path, frame, f"{self._prefix}_{name}", header, separator, counts["PARTITIONS"], counts["NROWS"], counts["AVG_ROW_SIZE"], given))
 
