@@ -20,11 +20,15 @@ from quern.sources.tables import table
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings emp dept customers suppliers products categories employees".split()
 
 
+_JOBS: dict[tuple[str, str], Job] = {}
+
+
 def run(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Result of a query; its columns have small letters."""
+    """Result of a query; its columns have small letters. A table is catalogued once per session."""
+    job = _JOBS.setdefault((spark.sparkContext.applicationId, folder), Job(spark))
     words = {w.lower() for w in re.findall(r"\w+", text)}
-    catalogued = "".join(f'CATALOG TABLE {t} (TYPE = PARQUET, PATH = "{folder}/{t}.parquet");' for t in TABLES if t in words)
-    out = Job(spark).query(catalogued + text)
+    missing = [t for t in TABLES if t in words and t.upper() not in job.catalog.tables]
+    out = job.query("".join(f'CATALOG TABLE {t} (TYPE = PARQUET, PATH = "{folder}/{t}.parquet");' for t in missing) + text)
     return out.toDF(*[c.lower() for c in out.columns])
 
 
