@@ -37,7 +37,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     # scans, projections, filters
     "scan_project": "SELECT n_name, n_regionkey FROM nation",
     "scan_star": "SELECT * FROM region",
-    "qualified_star": "SELECT n.* FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name = 'REGION_1'",
+    "qualified_star": "SELECT n.* FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name = 'AMERICA'",
     "filter_compare": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.03 AND l_returnflag <> 'R' AND l_linenumber != 2",
     "filter_and_or": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000.0 OR o_orderpriority = '1-URGENT' AND o_totalprice < 10000.0",
     "filter_not": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT (c_acctbal > 0.0 OR c_mktsegment = 'BUILDING')",
@@ -88,15 +88,15 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000.0",
     "join_right": "SELECT o_orderkey, n_name FROM orders RIGHT JOIN nation ON o_custkey = n_nationkey",
     "join_full": "SELECT r_name, n_name FROM region FULL OUTER JOIN nation ON r_regionkey = n_nationkey",
-    "join_nested": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN (nation INNER JOIN region ON n_regionkey = r_regionkey AND r_name = 'REGION_0') ON c_nationkey = n_nationkey",
+    "join_nested": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN (nation INNER JOIN region ON n_regionkey = r_regionkey AND r_name = 'AFRICA') ON c_nationkey = n_nationkey",
     "join_cross": "SELECT r_name, n_name FROM region, nation",
     "join_theta": "SELECT a.n_name AS low_name, b.r_name AS high_name FROM nation a, region b WHERE a.n_nationkey < b.r_regionkey * 3",
     # subqueries
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)",
-    "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000.0)",
     "anti_not_in_null": "SELECT dept_id FROM dept WHERE dept_id NOT IN (SELECT emp_dept_id FROM emp)",
     "exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
-    "not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey)",
+    "not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')",
     "any_sub": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9000.0)",
     "all_sub": "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT x.s_acctbal FROM supplier x WHERE x.s_nationkey = supplier.s_nationkey)",
     "all_sub_null": "SELECT p_partkey FROM part WHERE p_size > ALL (SELECT age FROM emp WHERE age < 40)",
@@ -134,7 +134,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "union": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
     "union_all": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0.0",
+    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000.0",
     "setop_chain": (
         "SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_regionkey FROM nation",
         "((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_regionkey FROM nation",
@@ -158,9 +158,9 @@ TEXTS: dict[str, str | tuple[str, str]] = {
            FROM lineitem WHERE l_shipdate <= DATE '2001-05-03' GROUP BY l_returnflag, l_linestatus""",
     ),
     "tpch_q2_like": (
-        """SELECT TOP 50 c_acctbal, c_name, n_name, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name LIKE '%2'
+        """SELECT TOP 50 c_acctbal, c_name, n_name, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name LIKE 'A%A'
            AND c_acctbal > (SELECT avg(x.c_acctbal) FROM customer x WHERE x.c_nationkey = n_nationkey) ORDER BY c_acctbal DESC, n_name, c_name, c_custkey""",
-        """SELECT c_acctbal, c_name, n_name, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name LIKE '%2'
+        """SELECT c_acctbal, c_name, n_name, c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name LIKE 'A%A'
            AND c_acctbal > (SELECT avg(x.c_acctbal) FROM customer x WHERE x.c_nationkey = n_nationkey) ORDER BY c_acctbal DESC, n_name, c_name, c_custkey LIMIT 50""",
     ),
     "tpch_q3_like": (
@@ -180,7 +180,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
            AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority""",
     ),
     "tpch_q5_like": """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey
-           AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'REGION_1' GROUP BY n_name ORDER BY revenue DESC""",
+           AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'AMERICA' GROUP BY n_name ORDER BY revenue DESC""",
     "tpch_q6_like": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
     "tpch_q7_like": (
         """SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, datepart(yy, l_shipdate) AS l_year, l_extendedprice * (1 - l_discount) AS volume
@@ -193,10 +193,10 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "tpch_q8_like": (
         """SELECT o_year, round(sum(CASE WHEN nation_name = 'NATION_3' THEN volume ELSE 0.0 END) / sum(volume), 6) AS mkt_share FROM (SELECT datepart(yy, o_orderdate) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation_name
            FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey
-           AND n1.n_regionkey = r_regionkey AND r_name = 'REGION_3' AND s_nationkey = n2.n_nationkey) AS all_nations GROUP BY o_year""",
+           AND n1.n_regionkey = r_regionkey AND r_name = 'EUROPE' AND s_nationkey = n2.n_nationkey) AS all_nations GROUP BY o_year""",
         """SELECT o_year, round(sum(CASE WHEN nation_name = 'NATION_3' THEN volume ELSE 0.0 END) / sum(volume), 6) AS mkt_share FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation_name
            FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey
-           AND n1.n_regionkey = r_regionkey AND r_name = 'REGION_3' AND s_nationkey = n2.n_nationkey) AS all_nations GROUP BY o_year""",
+           AND n1.n_regionkey = r_regionkey AND r_name = 'EUROPE' AND s_nationkey = n2.n_nationkey) AS all_nations GROUP BY o_year""",
     ),
     "tpch_q9_like": (
         """SELECT nation_name, o_year, round(sum(amount), 2) AS profit FROM (SELECT n_name AS nation_name, datepart(yy, o_orderdate) AS o_year, l_extendedprice * (1 - l_discount) AS amount FROM part, supplier, lineitem, orders, nation
