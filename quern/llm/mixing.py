@@ -96,9 +96,14 @@ def draw(counted: DataFrame, targets: DataFrame, key: str = "doc_id", source: st
             hits = hits + (bits >= F.col(f"__c{k}")).cast("int")
         return hits
 
-    tries = [F.sum(count(F.lit(seed + j)) * F.col(size)).alias(f"t{j}") for j in range(seeds)]
-    reached = known.groupBy("__source").agg(F.first("__aim").alias("aim"), *tries).collect()
-    chosen = [(r["__source"], seed + min(range(seeds), key=lambda j: (abs((r[f"t{j}"] or 0) - r["aim"]), j))) for r in reached]
+    # every seed is tried on every record: a row per seed, summed before anything is exchanged
+    tried = known.select("__source", "__aim", key, size, *[f"__c{k}" for k in range(most)], F.explode(F.sequence(F.lit(seed), F.lit(seed + seeds - 1))).alias("__try"))
+    reached = tried.groupBy("__source", "__try").agg(F.first("__aim").alias("aim"), F.sum(count(F.col("__try")) * F.col(size)).alias("got")).collect()
+    closest: dict[str, tuple[float, int]] = {}
+    for r in reached:
+        miss = (abs((r["got"] or 0) - r["aim"]), r["__try"])
+        closest[r["__source"]] = min(miss, closest.get(r["__source"], miss))
+    chosen = [(s, at) for s, (_, at) in closest.items()]
     best = spark.createDataFrame(chosen, "__s string, __seed int")
     drawn = known.join(F.broadcast(best), F.col("__source") == F.col("__s")).withColumn("__n", count(F.col("__seed")))
     copies = drawn.where(F.col("__n") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
