@@ -247,11 +247,22 @@ def fits(short: str, word: str) -> bool:
     return tail == b or any(_near(b, word[-n:]) for n in (len(b) - 1, len(b), len(b) + 1) if 2 <= n < len(word))
 
 
+def trades_differ(a: str, b: str) -> bool:
+    """Whether both name their trades in full and have none in common."""
+    a_words, b_words = a.split(), b.split()
+    if not a_words or not b_words or not _TRADE_SET.issuperset(a_words + b_words):
+        return False
+    return not {w[:4] for w in a_words} & {w[:4] for w in b_words}
+
+
 def _accept(kind: str, a_parts, b_parts, a_trade: str, b_trade: str, distance: int) -> bool:
     """The exact check of a pair from the segment join."""
     a_parts, b_parts = list(a_parts), list(b_parts)
-    if kind == "company" and distance <= 1:
-        return True
+    if kind == "company":
+        if trades_differ(a_trade, b_trade):
+            return False
+        if distance <= 1:
+            return True
     if len(a_parts) == 2 and len(b_parts) == 2:
         for x in (b_parts, b_parts[::-1]):
             d = distances(a_parts, x, 2)
@@ -318,8 +329,8 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
         n = F.size("parts")
         first = F.struct(F.element_at("parts", 1).alias("word"), F.array_join(F.slice("parts", F.lit(2), n - 1), "").alias("other"))
         last = F.struct(F.element_at("parts", -1).alias("word"), F.array_join(F.slice("parts", F.lit(1), n - 1), "").alias("other"))
-        words = own.select("id", "class_id", F.explode(F.array(first, last)).alias("w"), "forms").select("id", "class_id", "w.word", "w.other", "forms")
-        cut_names = nodes.where((F.col("name_kind") == kind) & F.col("short").isNotNull()).select(F.col("id").alias("short_id"), "whole", "short")
+        words = own.select("class_id", F.explode(F.array(first, last)).alias("w"), "forms", "trade").select("class_id", "w.word", "w.other", "forms", "trade")
+        cut_names = nodes.where((F.col("name_kind") == kind) & F.col("short").isNotNull()).select(F.col("id").alias("short_id"), "whole", "short", F.col("trade").alias("short_trade"))
         vocabulary = words.select(F.col("word").alias("s")).distinct().withColumn("id", F.xxhash64("s"))
         wanted = cut_names.select(F.col("whole").alias("t")).distinct().withColumn("probe_id", F.xxhash64("t") + F.lit(1))
         near = edit_join(vocabulary, wanted, 2).where(F.col("distance") <= 1)
@@ -328,15 +339,15 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
                 ok = [
-                    fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word))
-                    for s, word, other, forms in zip(p.short, p.word, p.other, p.forms)
+                    not trades_differ(t, u) and (fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word)))
+                    for s, word, other, forms, t, u in zip(p.short, p.word, p.other, p.forms, p.trade, p.short_trade)
                 ]
                 yield p.loc[np.array(ok, bool), ["short_id", "class_id", "distance"]]
 
         found = (
             cut_names.join(shuffled(by_word), F.col("whole") == F.col("t"))
             .join(shuffled(words), F.col("s") == F.col("word"))
-            .select("short_id", "short", "class_id", "distance", "word", "other", "forms")
+            .select("short_id", "short", "class_id", "distance", "word", "other", "forms", "trade", "short_trade")
             .mapInPandas(match, "short_id long, class_id long, distance int")
         )
         best = found.groupBy("short_id", "distance").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
