@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
-from quern.session import cut_lineage, partitions_for, shuffled
+from quern.session import cut_lineage, partitions_for, ship_package, shuffled
 
 RESULT = "node long, parent long, root_id long, tree_depth int, path_ids string, descendants long, is_back_edge boolean"
 WHITE, GREY, BLACK = 0, 1, 2
@@ -191,6 +191,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, max_component_rows: int = 2
     Rows of a component meet in one task unless they are more than
     ``max_component_rows``; such a component is done by pointer doubling.
     """
+    ship_package(df.sparkSession)
     nodes = cut_lineage(
         df.select(F.col(node).cast("long").alias("node"), F.col(parent).cast("long").alias("parent"))
         .where(F.col("node").isNotNull())

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.session import ship_package
+
 QUOTE, COMMA, CR = 0x22, 0x2C, 0x0D
 
 
@@ -152,6 +154,7 @@ def parse_records(df: DataFrame, key: str, line: str, columns: Sequence[Column])
     checks but do not fit the kind. Records are whole values: line breaks within
     are data. The schema is that of the result for an empty table, too.
     """
+    ship_package(df.sparkSession)
     fields = list(columns)
     schema = T.StructType(
         [T.StructField(key, df.schema[key].dataType), T.StructField("reject_reason", T.StringType())]
