@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quern.llm.editjoin import distances
 from quern.llm.names import fold
 from quern.operators.components import connected_components
-from quern.session import cut_lineage, shuffled
+from quern.session import cut_lineage, ship_package, shuffled
 
 #: Least cosine of the street n-grams of candidates: one edit in a street of six letters keeps it.
 LEAST_COSINE = 0.3
@@ -117,6 +117,7 @@ def read_address(address: str | None, city: str | None, postcode: str | None) ->
 
 def read_addresses(df: DataFrame) -> DataFrame:
     """``key`` with street, kind, number, town and postcode; unreadable ones are left out."""
+    ship_package(df.sparkSession)
     schema = "key string, street string, kind string, number string, town string, code string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

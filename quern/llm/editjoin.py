@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut_lineage, shuffled
+from quern.session import cut_lineage, ship_package, shuffled
 
 #: A segment in more index strings than this is refined by a second segment.
 HOT_SEGMENT = 50
@@ -142,6 +142,7 @@ def edit_join(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     shorter than k + 1 have empty segments and are compared with all others that
     short, which is a bounded set of texts if the strings are distinct.
     """
+    ship_package(index.sparkSession)
     kinds = {"id": "long", "s": "string", "probe_id": "long", "t": "string", "key": "string", "rest": "string"}
     schema = lambda *c: ", ".join(f"{x} {kinds[x]}" for x in c)
     entries = cut_lineage(index.select("id", "s").mapInPandas(_keyed(index_keys, k, "s"), schema("id", "s", "key", "rest")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.editjoin import distances, edit_join
 from quern.operators.components import connected_components
-from quern.session import cut_lineage, shuffled
+from quern.session import cut_lineage, ship_package, shuffled
 
 # Legal forms, without stops.
 LEGAL = frozenset(
@@ -220,6 +220,7 @@ def _choices(options: list[list[str]]) -> list[list[str]]:
 
 def parse_names(df: DataFrame) -> DataFrame:
     """Rows ``name_kind``, ``name`` with their reading; names without a letter are left out."""
+    ship_package(df.sparkSession)
     schema = "name_kind string, name string, core string, forms array<string>, parts array<string>, trade string, whole string, short string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import partitions_for
+from quern.session import partitions_for, ship_package
 
 
 def best_fit(sizes: np.ndarray, capacities: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +89,7 @@ def pack(df: DataFrame, key: str, size: str, capacities: Sequence[int], items_pe
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
+    ship_package(df.sparkSession)
     largest = max(capacities)
     items = pieces(df.select(key, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size)), key, size, largest)
     shards = partitions_for(df.count() if rows is None else rows, items_per_shard)
