@@ -61,7 +61,6 @@ NICKNAMES = {
         """.split()
     )
 }
-KINDS = ("company", "contact")
 
 
 def fold(text: str) -> str:
@@ -301,60 +300,55 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
         .withColumn("id", F.xxhash64("name_kind", "core"))
     )
     full = nodes.where(F.col("short").isNull())
-    edges = []
-    for kind in KINDS:
-        own = full.where(F.col("name_kind") == kind)
-        probes = own.select(F.col("id").alias("probe_id"), F.explode("forms").alias("t"))
-        same = own.join(shuffled(probes.withColumnRenamed("t", "core")), "core").where(F.col("id") != F.col("probe_id"))
-        near = edit_join(own.select("id", F.col("core").alias("s")), probes, k).where(F.col("distance") <= 2)
-        a = own.select("id", F.col("parts").alias("a_parts"), F.col("trade").alias("a_trade"))
-        b = own.select(F.col("id").alias("probe_id"), F.col("parts").alias("b_parts"), F.col("trade").alias("b_trade"))
-
-        def check(batches: Iterator[pd.DataFrame], kind: str = kind) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                ok = [_accept(kind, *x) for x in zip(p.a_parts, p.b_parts, p.a_trade, p.b_trade, p.distance)]
-                yield p.loc[np.array(ok, bool), ["id", "probe_id"]]
-
-        edges.append(near.join(shuffled(a), "id").join(shuffled(b), "probe_id").mapInPandas(check, "id long, probe_id long"))
-        edges.append(same.select("id", "probe_id"))
-    links = edges[0]
-    for e in edges[1:]:
-        links = links.unionByName(e)
+    # both kinds go through one join, told apart by their first character
+    mark = F.when(F.col("name_kind") == "company", "#").otherwise("@")
+    probes = full.select(F.col("id").alias("probe_id"), "name_kind", F.explode("forms").alias("t"))
+    same = full.join(shuffled(probes.withColumnRenamed("t", "core")), ["name_kind", "core"]).where(F.col("id") != F.col("probe_id"))
+    near = edit_join(full.select("id", F.concat(mark, "core").alias("s")), probes.select("probe_id", F.concat(mark, "t").alias("t")), k).where(F.col("distance") <= 2)
+    a = full.select("id", "name_kind", F.col("parts").alias("a_parts"), F.col("trade").alias("a_trade"))
+    b = full.select(F.col("id").alias("probe_id"), F.col("name_kind").alias("b_kind"), F.col("parts").alias("b_parts"), F.col("trade").alias("b_trade"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            ok = [_accept(*x) for x in zip(p.name_kind, p.a_parts, p.b_parts, p.a_trade, p.b_trade, p.distance)]
+            yield p.loc[np.array(ok, bool), ["id", "probe_id"]]
+
+    alike = near.join(shuffled(a), "id").join(shuffled(b), "probe_id").where(F.col("name_kind") == F.col("b_kind")).mapInPandas(check, "id long, probe_id long")
+    links = alike.unionByName(same.select("id", "probe_id"))
     links = cut_lineage(links.select(F.least("id", "probe_id").alias("src"), F.greatest("id", "probe_id").alias("dst")).distinct())
     classes = cut_lineage(nodes.select("id").join(shuffled(connected_components(links).withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("class_id")))
 
     # shortened names: by the whole word, then the shortened one
-    more = []
-    for kind in KINDS:
-        own = full.where((F.col("name_kind") == kind) & (F.size("parts") > 1)).join(shuffled(classes), "id")
-        n = F.size("parts")
-        first = F.struct(F.element_at("parts", 1).alias("word"), F.array_join(F.slice("parts", F.lit(2), n - 1), "").alias("other"))
-        last = F.struct(F.element_at("parts", -1).alias("word"), F.array_join(F.slice("parts", F.lit(1), n - 1), "").alias("other"))
-        words = own.select("class_id", F.explode(F.array(first, last)).alias("w"), "forms", "trade").select("class_id", "w.word", "w.other", "forms", "trade")
-        cut_names = nodes.where((F.col("name_kind") == kind) & F.col("short").isNotNull()).select(F.col("id").alias("short_id"), "whole", "short", F.col("trade").alias("short_trade"))
-        vocabulary = words.select(F.col("word").alias("s")).distinct().withColumn("id", F.xxhash64("s"))
-        wanted = cut_names.select(F.col("whole").alias("t")).distinct().withColumn("probe_id", F.xxhash64("t") + F.lit(1))
-        near = edit_join(vocabulary, wanted, 2).where(F.col("distance") <= 1)
-        by_word = near.join(shuffled(vocabulary), "id").join(shuffled(wanted), "probe_id").select("s", "t", "distance")
-
-        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                ok = [
-                    not trades_differ(t, u) and (fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word)))
-                    for s, word, other, forms, t, u in zip(p.short, p.word, p.other, p.forms, p.trade, p.short_trade)
-                ]
-                yield p.loc[np.array(ok, bool), ["short_id", "class_id", "distance"]]
-
-        found = (
-            cut_names.join(shuffled(by_word), F.col("whole") == F.col("t"))
-            .join(shuffled(words), F.col("s") == F.col("word"))
-            .select("short_id", "short", "class_id", "distance", "word", "other", "forms", "trade", "short_trade")
-            .mapInPandas(match, "short_id long, class_id long, distance int")
-        )
-        best = found.groupBy("short_id", "distance").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
-        least = best.groupBy("short_id").agg(F.min_by(F.struct("class_id", "other"), "distance").alias("b"))
-        more.append(least.where(F.col("b.class_id") == F.col("b.other")).select(F.col("short_id").alias("id"), F.col("b.class_id").alias("joined")))
-    joined = cut_lineage(more[0].unionByName(more[1]))
+    own = full.where(F.size("parts") > 1).join(shuffled(classes), "id")
+    n = F.size("parts")
+    first = F.struct(F.element_at("parts", 1).alias("word"), F.array_join(F.slice("parts", F.lit(2), n - 1), "").alias("other"))
+    last = F.struct(F.element_at("parts", -1).alias("word"), F.array_join(F.slice("parts", F.lit(1), n - 1), "").alias("other"))
+    words = own.select("class_id", F.explode(F.array(first, last)).alias("w"), "forms", "trade", mark.alias("m")).select(
+        "class_id", F.concat("m", "w.word").alias("s"), "w.word", "w.other", "forms", "trade"
+    )
+    cut_names = nodes.where(F.col("short").isNotNull()).select(F.col("id").alias("short_id"), F.concat(mark, "whole").alias("t"), "short", F.col("trade").alias("short_trade"))
+    vocabulary = words.select("s").distinct().withColumn("id", F.xxhash64("s"))
+    wanted = cut_names.select("t").distinct().withColumn("probe_id", F.xxhash64("t") + F.lit(1))
+    close = edit_join(vocabulary, wanted, 2).where(F.col("distance") <= 1)
+    by_word = close.join(shuffled(vocabulary), "id").join(shuffled(wanted), "probe_id").where(F.substring("s", 1, 1) == F.substring("t", 1, 1)).select("s", "t", "distance")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            ok = [
+                not trades_differ(x, y) and (fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word)))
+                for s, word, other, forms, x, y in zip(p.short, p.word, p.other, p.forms, p.trade, p.short_trade)
+            ]
+            yield p.loc[np.array(ok, bool), ["short_id", "class_id", "distance"]]
+
+    found = (
+        cut_names.join(shuffled(by_word), "t")
+        .join(shuffled(words), "s")
+        .select("short_id", "short", "class_id", "distance", "word", "other", "forms", "trade", "short_trade")
+        .mapInPandas(match, "short_id long, class_id long, distance int")
+    )
+    best = found.groupBy("short_id", "distance").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
+    least = best.groupBy("short_id").agg(F.min_by(F.struct("class_id", "other"), "distance").alias("b"))
+    joined = cut_lineage(least.where(F.col("b.class_id") == F.col("b.other")).select(F.col("short_id").alias("id"), F.col("b.class_id").alias("joined")))
     # shortened names that lead to no class are joined among each other, by whole word and first letter
     lone = nodes.where(F.col("short").isNotNull()).join(shuffled(joined), "id", "left_anti")
     letter = F.substring("short", 1, 1)
