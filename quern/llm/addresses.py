@@ -1,15 +1,16 @@
 """Postal addresses that denote the same place.
 
 An address is read into street, kind of street, house number and town; flats and
-floors are set aside. Streets are weighted character n-grams (weights from the
-frequencies in all addresses); candidates come from an inverted index over the
-rarest n-grams only, as many as the least cosine needs; cosine, edit distance of
-street and town, and the house number verify a pair.
+floors are set aside. Streets are character n-grams, ordered by their frequencies
+in all addresses; candidates come from an inverted index over the rarest n-grams
+only, as many as the accepted edits can change and one more, whatever the size of
+the table; edit distance of street and town, and the house number verify a pair.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,12 @@ from quern.llm.names import fold
 from quern.operators.components import connected_components
 from quern.session import cut_lineage, ship_package, shuffled
 
-#: Least cosine of the street n-grams of candidates: one edit in a street of six letters keeps it.
-LEAST_COSINE = 0.3
+#: Letters of the shorter street from which two edits are accepted; one below.
+TWO_EDITS_FROM = 7
+#: 2-grams that one edit changes at most: a swap of neighbours lies in three.
+GRAMS_PER_EDIT = 3
+#: Streets up to this length can lose every 2-gram by one edit, or meet one that can.
+SHORT_STREET = 3
 
 # Words for kinds of street, by the kind they mean.
 STREET_KINDS = {
@@ -133,9 +138,21 @@ def read_addresses(df: DataFrame) -> DataFrame:
 
 
 def grams(street: str) -> list[str]:
-    """Character 2- and 3-grams of a street with marked ends."""
+    """Character 2-grams of a street with marked ends, repeated ones numbered.
+
+    Very short streets also have themselves and what is left without one letter,
+    by which any two within one edit meet.
+    """
     s = f"^{street}$"
-    return sorted({s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)})
+    seen: Counter[str] = Counter()
+    out = []
+    for i in range(len(s) - 1):
+        g = s[i : i + 2]
+        out.append(f"{g}{seen[g] or ''}")
+        seen[g] += 1
+    if len(street) <= SHORT_STREET:
+        out += {f"-{street}", *(f"-{street[:i]}{street[i + 1:]}" for i in range(len(street)))}
+    return out
 
 
 def _kinds_agree(a: str, b: str) -> bool:
@@ -154,7 +171,7 @@ def same_place(a: tuple, b: tuple) -> bool:
     (ta, fa), (tb, fb) = (t.split("/") if t else ("", "") for t in (ta, tb))
     street, town, whole, code = (int(x) for x in distances([sa, ta, fa, ca], [sb, tb, fb, cb], 2))
     town = min(town, whole)
-    if street > 2 or (street == 2 and min(len(sa), len(sb)) < 7):
+    if street > 2 or (street == 2 and min(len(sa), len(sb)) < TWO_EDITS_FROM):
         return False
     codes = None if not ca or not cb else code <= 1
     if ta and tb:
@@ -166,7 +183,35 @@ def same_place(a: tuple, b: tuple) -> bool:
     return codes is True and street < 2 + (ca == cb)
 
 
-def link_addresses(addresses: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
+def street_pairs(streets: DataFrame) -> DataFrame:
+    """``number``, ``street``, ``street_b`` of all different streets with one house number that ``same_place`` holds alike.
+
+    ``streets`` has distinct ``street`` and ``number``. An edit changes at most
+    GRAMS_PER_EDIT of a street's n-grams, so the rarest of them, one more than the
+    accepted edits can change, have one in common (prefix filter); no pair is lost.
+    """
+    spelled = cut_lineage(_with_grams(streets.select("street").distinct()))
+    counts = spelled.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.row_number().over(Window.partitionBy("street").orderBy("n", "gram"))
+    edits = F.when(F.length("street") >= TWO_EDITS_FROM, 2).otherwise(1)
+    ranked = spelled.join(shuffled(counts), "gram").withColumn("rank", rarest)
+    prefix = ranked.where((F.col("rank") <= edits * GRAMS_PER_EDIT + 1) | (F.length("street") <= SHORT_STREET)).select("street", "gram")
+    # candidates share a prefix n-gram and the house number
+    entries = cut_lineage(prefix.join(shuffled(streets), "street").select("gram", "number", "street"))
+    other = entries.withColumnRenamed("street", "street_b")
+    near = F.abs(F.length("street") - F.length("street_b")) <= 2
+    met = entries.join(shuffled(other), ["gram", "number"]).where((F.col("street") < F.col("street_b")) & near).select("number", "street", "street_b").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            d = distances(p["street"].tolist(), p["street_b"].tolist(), 2)
+            shorter = np.minimum(p["street"].str.len(), p["street_b"].str.len()).to_numpy(int)
+            yield p[(d <= 1) | ((d == 2) & (shorter >= TWO_EDITS_FROM))]
+
+    return met.mapInPandas(verify, "number string, street string, street_b string")
+
+
+def link_addresses(addresses: DataFrame) -> DataFrame:
     """``key``, ``class_id``, ``links`` of every record whose address can be read.
 
     ``addresses`` has ``key``, ``address``, ``city`` and ``postalCode``. Records of
@@ -186,30 +231,11 @@ def link_addresses(addresses: DataFrame, least_cosine: float = LEAST_COSINE) ->
     )
     nodes = cut_lineage(read.select(*fields).distinct().withColumn("id", F.xxhash64(*fields)))
     streets = nodes.select("street", "number").distinct()
-    spelled = cut_lineage(_with_grams(streets.select("street").distinct()))
-    total = spelled.select("street").distinct().count()
-    weights = spelled.groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
-    weighed = spelled.join(shuffled(weights), "gram")
-    by_street = Window.partitionBy("street")
-    rare_first = by_street.orderBy(F.col("w").desc(), "gram")
-    # the prefix ends where the rest can't reach the least cosine on its own
-    unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_street))
-    scaled = weighed.select("street", "gram", "w", unit.alias("u"))
-    spent = F.sum(F.col("u") * F.col("u")).over(rare_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("u") * F.col("u")
-    prefix = scaled.withColumn("rest", 1 - spent).where(F.col("rest") >= F.lit(least_cosine**2)).select("street", "gram")
-    # candidates share a prefix n-gram and the house number
-    entries = prefix.join(shuffled(streets), "street").select("gram", "number", "street")
-    other = entries.withColumnRenamed("street", "street_b")
-    met = entries.join(shuffled(other), ["gram", "number"]).where(F.col("street") < F.col("street_b")).select("street", "street_b").distinct()
-    vectors = scaled.groupBy("street").agg(F.map_from_entries(F.collect_list(F.struct("gram", "u"))).alias("v"))
-    other_vectors = vectors.select(F.col("street").alias("street_b"), F.col("v").alias("v_b"))
-    dot = F.aggregate(F.map_entries("v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("v_b", e["key"]), F.lit(0.0)))
-    similar = met.join(shuffled(vectors), "street").join(shuffled(other_vectors), "street_b").where(dot >= F.lit(least_cosine)).select("street", "street_b")
-    same = streets.select("street", F.col("street").alias("street_b")).distinct()
-    pairs = cut_lineage(similar.unionByName(same))
+    same = streets.select("street", "number", F.col("street").alias("street_b"))
+    pairs = cut_lineage(street_pairs(streets).unionByName(same))
     renamed = nodes.select(*[F.col(c).alias(f"{c}_b") for c in (*fields, "id")])
     candidates = (
-        nodes.join(shuffled(pairs), "street")
+        nodes.join(shuffled(pairs), ["street", "number"])
         .join(shuffled(renamed.withColumnRenamed("number_b", "number")), ["street_b", "number"])
         .where(F.col("id") != F.col("id_b"))
         .withColumn("number_b", F.col("number"))

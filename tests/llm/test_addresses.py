@@ -57,6 +57,31 @@ def test_candidates_lose_no_pair_above_the_least_cosine(spark):
     assert all(any({2 * i, 2 * i + 1} <= x for x in got) for i in range(40))
 
 
+def test_candidates_lose_no_accepted_pair_at_any_size(spark):
+    """Against brute force over ``same_place``: swaps, two edits and short streets among few and many others."""
+    import random
+
+    def edit(s):
+        at = rnd.randrange(len(s) - 1)
+        return rnd.choice([s[:at] + s[at + 1] + s[at] + s[at + 2 :], s[:at] + "x" + s[at + 1 :], s[:at] + s[at + 1 :], s[:at] + "w" + s[at:]])
+
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abdegiklmnoprstu") for _ in range(n))
+    streets = ["zig", "zog", "zgi"]
+    for n in (4, 5, 6, 7, 7, 8, 9, 12) * 5:
+        s = word(n)
+        streets += [s, edit(s), edit(edit(s))]
+    for others in (0, 3000):
+        given = list(dict.fromkeys([*streets, *(word(9) for _ in range(others))]))
+        read = [A.read_address(f"5 {s} Lane", "Pelvinor", "05678") for s in given]
+        own = [i for i, x in enumerate(read[: len(set(streets))]) if x]
+        want = {frozenset((read[i][0], read[j][0])) for i in own for j in own if read[i][0] < read[j][0] and A.same_place(read[i], read[j])}
+        got = classes(spark, [(f"5 {s} Lane", "Pelvinor", "05678") for s in given])
+        at = {i: k for k, c in enumerate(got) for i in c}
+        lost = [(read[i][0], read[j][0]) for i in own for j in own if frozenset((read[i][0], read[j][0])) in want and at[i] != at[j]]
+        assert len(want) > 60 and not lost
+
+
 def test_empty(spark):
     assert classes(spark, []) == []
 
