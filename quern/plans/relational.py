@@ -51,17 +51,27 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "bench_filtered_scan": "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem WHERE l_extendedprice + 1.0 = 902.0",
     # expressions
     "arithmetic": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax AS net, l_quantity - 1 AS less_one FROM lineitem WHERE l_orderkey < 500",
+    "arithmetic_whole": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax AS net, l_quantity - 1 AS less_one FROM lineitem",
     "unary_minus": "SELECT s_suppkey, -s_acctbal AS owed, -(s_acctbal + 1.5) AS more FROM supplier",
     "division": "SELECT o_orderkey, o_orderkey / 7 AS part_of, o_totalprice / 2 AS half FROM orders WHERE o_orderkey < 200",
+    "division_whole": "SELECT o_orderkey, o_orderkey / 7 AS part_of, o_totalprice / 2 AS half FROM orders",
     "literals": "SELECT n_nationkey, 'abc' AS word, 7 AS seven, 2.5 AS half FROM nation",
     "cast_literal": (
         "SELECT o_orderkey FROM orders WHERE o_orderkey < CAST('100' AS INT64) AND o_orderdate > CAST('1996-01-01' AS DATE32)",
         "SELECT o_orderkey FROM orders WHERE o_orderkey < CAST('100' AS BIGINT) AND o_orderdate > CAST('1996-01-01' AS DATE)",
     ),
+    "cast_literal_whole": (
+        "SELECT o_orderkey FROM orders WHERE o_totalprice > CAST('100000' AS INT64) AND o_orderdate > CAST('1996-01-01' AS DATE32)",
+        "SELECT o_orderkey FROM orders WHERE o_totalprice > CAST('100000' AS BIGINT) AND o_orderdate > CAST('1996-01-01' AS DATE)",
+    ),
     "cast_column": (
         "SELECT o_orderkey, CAST(o_totalprice AS FLOAT64) AS price, CAST(o_orderkey AS UTF8) AS key_text, CAST(CAST(o_orderdate AS DATE32) AS UTF8) AS day FROM orders WHERE o_orderkey < 300",
         "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderkey AS VARCHAR) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_orderkey < 300",
     ),
+    "cast_column_whole": (
+        "SELECT o_orderkey, CAST(o_totalprice AS FLOAT64) AS price, CAST(o_orderkey AS UTF8) AS key_text, CAST(CAST(o_orderdate AS DATE32) AS UTF8) AS day FROM orders",
+        "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderkey AS VARCHAR) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders",
+    ),
     "date_compare": (
         "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= CAST('1998-01-01' AS DATE32) AND l_shipdate < dateadd(mm, 1, CAST('1998-01-01' AS DATE32))",
         "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-02-01'",
