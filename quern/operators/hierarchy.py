@@ -27,8 +27,8 @@ def walk(ids: np.ndarray, parents: np.ndarray, has_parent: np.ndarray) -> pd.Dat
 
     A node whose parent is absent from ``ids`` is a root. Nodes that no root
     reaches lie on or below a cycle: root -1, depth -1, empty path. One link per
-    cycle, met when following parents from a grey node to a grey one, is its back
-    edge. ``descendants`` counts nodes below; on a cycle it is -1.
+    cycle, found when following parents from a grey node to a grey one, is its back
+    edge: that of its least node. ``descendants`` counts nodes below; on a cycle it is -1.
     """
     n = len(ids)
     order = np.argsort(ids, kind="stable")
@@ -68,8 +68,8 @@ def walk(ids: np.ndarray, parents: np.ndarray, has_parent: np.ndarray) -> pd.Dat
             colour[node] = GREY
             seen.append(node)
             parent = int(up[node])
-            if colour[parent] == GREY:
-                back[node] = True
+            if colour[parent] == GREY:  # the cycle is closed: its least node has the back edge
+                back[min(seen[seen.index(parent) :], key=ids.__getitem__)] = True
             node = parent
         colour[seen] = BLACK
     return pd.DataFrame(
@@ -184,7 +184,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, max_component_rows: int = 2
     from the root down, joined by ``/``), ``descendants``, ``is_back_edge``. A
     root has a null parent or one that is no node; its depth is 0. Nodes whose
     line of parents never reaches a root get root -1, depth -1, an empty path and
-    -1 descendants; one link of each cycle is its back edge. Rows with a null
+    -1 descendants; the link of each cycle's least node is its back edge. Rows with a null
     node are left out; repeated rows give one node, with the least parent if they
     differ. An empty table gives no rows.
 

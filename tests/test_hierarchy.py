@@ -31,6 +31,17 @@ def test_small_forest(spark, limit):
     assert len(back) == 2 and 9 in back and ({6, 7} & set(back))
 
 
+def test_back_edges_do_not_depend_on_the_way_or_the_order_of_rows(spark):
+    rows = [(20, 21), (21, 22), (22, 20), (1, 22), (30, 31), (31, 30), (2, 31), (9, 9)]
+    for given in (rows, rows[::-1]):
+        walked = H.walk(np.array([r[0] for r in given]), np.array([r[1] for r in given]), np.ones(len(given), bool))
+        assert sorted(walked.loc[walked.is_back_edge, "node"]) == [9, 20, 30]
+    df = spark.createDataFrame(rows, "id long, up long")
+    for limit in (1000, 0):
+        got = H.hierarchy(df, "id", "up", max_component_rows=limit).where("is_back_edge").collect()
+        assert sorted(r["node"] for r in got) == [9, 20, 30]
+
+
 def test_empty_and_null_nodes(spark):
     df = spark.createDataFrame([(None, 1)], "id long, up long")
     assert H.hierarchy(df, "id", "up").collect() == []
