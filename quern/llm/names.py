@@ -255,11 +255,61 @@ def trades_differ(a: str, b: str) -> bool:
     return not {w[:4] for w in a_words} & {w[:4] for w in b_words}
 
 
-def _accept(kind: str, a_parts, b_parts, a_trade: str, b_trade: str, distance: int) -> bool:
+def known_trade(trades) -> str:
+    """The words of those trades that are named in full."""
+    return " ".join(sorted({w for t in trades if _TRADE_SET.issuperset(t.split()) for w in t.split()}))
+
+
+def _may_be(trade: str, known: str) -> bool:
+    """Whether a trade that isn't named in full can be a known one; without a word it can be any."""
+    short = [w.replace("'", "") for w in trade.split() if w not in _TRADE_SET]
+    return not short or any(w[0] == x[0] and (_is_subsequence(x, w) or _near(x, w)) for x in short if x for w in known.split())
+
+
+def trade_groups(trades) -> list[str]:
+    """A label for each of the trades of firms with equal words: firms with different labels are not one node.
+
+    Known trades that differ get different labels, a trade that isn't named in full
+    that of the only one it can be, and otherwise one of its own.
+    """
+    groups: list[set[str]] = []
+    for t in sorted(t for t in trades if known_trade([t])):
+        met = [g for g in groups if any(not trades_differ(t, x) for x in g)]
+        groups = [g for g in groups if g not in met] + [{t}.union(*met)]
+    if len(groups) < 2:
+        return [""] * len(trades)
+    labels = []
+    for t in trades:
+        fit = [g for g in groups if (t in g if known_trade([t]) else _may_be(t, known_trade(g)))]
+        labels.append(min(fit[0]) if len(fit) == 1 else "?")
+    return labels
+
+
+def _without_half(known: str, form: str, core: str) -> str:
+    """Known trades less the word that a probe form (see ``halves`` of ``read_company``) takes as part of the name."""
+    extra = len(form) - len(core)
+    return " ".join(w for w in known.split() if not (extra and len(w) == extra and w in form))
+
+
+def _unfit(trades: list[str], met: list[tuple[int, str]]) -> list[str]:
+    """Of known trades met at distances by a firm of unknown trade, those of firms it can't be.
+
+    Those count that its shortened trade can be, if there are any, then the closest;
+    if these differ, it is none of them.
+    """
+    tiers = [(not all(_may_be(t, known) for t in trades), d) for d, known in met]
+    best = [known for tier, (_, known) in zip(tiers, met) if tier == min(tiers)]
+    if any(trades_differ(x, y) for x in best for y in best):
+        return sorted({known for _, known in met})
+    return sorted({known for _, known in met if any(trades_differ(known, x) for x in best)})
+
+
+def _accept(kind: str, a_parts, b_parts, a_trades, b_trades, distance: int) -> bool:
     """The exact check of a pair from the segment join."""
     a_parts, b_parts = list(a_parts), list(b_parts)
+    one_trade = bool((set(a_trades) & set(b_trades)) - {""})
     if kind == "company":
-        if trades_differ(a_trade, b_trade):
+        if trades_differ(known_trade(a_trades), known_trade(b_trades)):
             return False
         if distance <= 1:
             return True
@@ -270,10 +320,10 @@ def _accept(kind: str, a_parts, b_parts, a_trade: str, b_trade: str, distance: i
                 # a short given name must be exact, one letter makes another name
                 if (d <= 1).all() and all(v == 0 or min(len(p), len(q)) >= 4 for v, p, q in zip(d, a_parts, x)):
                     return True
-            elif (d <= 1).all() or (d.sum() <= 2 and a_trade and a_trade == b_trade):
+            elif (d <= 1).all() or (d.sum() <= 2 and one_trade):
                 return True
         return False
-    return distance <= 1 or (kind == "company" and distance <= 2 and bool(a_trade) and a_trade == b_trade)
+    return distance <= 1 or (kind == "company" and distance <= 2 and one_trade)
 
 
 def link_names(names: DataFrame, k: int = 3) -> DataFrame:
@@ -282,22 +332,32 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     ``names`` has ``name_kind`` (``company`` or ``contact``) and ``name``. Spellings
     of one class name the same entity: their words are alike up to one edit a word
     (two edits where the trade is the same), in any order, nicknames taken as the
-    names they stand for. A spelling with an initial or a cut-off word joins the class
+    names they stand for. Firms whose trades are known and differ are not linked; one
+    of unknown trade joins those it fits best, and none of them if these differ. A spelling with an initial or a cut-off word joins the class
     that its whole word leads to, if there is exactly one such class. Null and blank
     names are left out, repeated rows count once, other columns are not read.
     """
     spelled = cut_lineage(parse_names(names.where(F.col("name").isNotNull()).select("name_kind", "name").distinct()))
-    # one node per reading: spellings that differ in case, accents, trade or legal form only are one already
+    given = spelled.groupBy("name_kind", "core").agg(F.collect_set("trade").alias("trades"))
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(kind, core, t, g) for kind, core, trades in zip(b.name_kind, b.core, b.trades) for t, g in zip(trades, trade_groups(trades))]
+            yield pd.DataFrame(rows, columns=["name_kind", "core", "trade", "trade_group"])
+
+    labels = given.mapInPandas(label, "name_kind string, core string, trade string, trade_group string")
+    spelled = cut_lineage(spelled.join(shuffled(labels), ["name_kind", "core", "trade"]))
+    # one node per reading: spellings that differ in case, accents, legal form or in how they put a trade only are one already
     nodes = cut_lineage(
-        spelled.groupBy("name_kind", "core")
+        spelled.groupBy("name_kind", "core", "trade_group")
         .agg(
             F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"),
             F.min_by("parts", F.struct(F.abs(F.size("parts") - 2), F.col("parts"))).alias("parts"),
-            F.max("trade").alias("trade"),
-            F.min("whole").alias("whole"),
-            F.min("short").alias("short"),
+            F.sort_array(F.collect_set("trade")).alias("trades"),
+            # a shortened name only if no spelling of it is full
+            F.when(F.count("short") == F.count(F.lit(1)), F.min(F.struct("whole", "short"))).alias("cut"),
         )
-        .withColumn("id", F.xxhash64("name_kind", "core"))
+        .select("name_kind", "core", "trade_group", "forms", "parts", "trades", "cut.whole", "cut.short", F.xxhash64("name_kind", "core", "trade_group").alias("id"))
     )
     full = nodes.where(F.col("short").isNull())
     # both kinds go through one join, told apart by their first character
@@ -305,17 +365,43 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     probes = full.select(F.col("id").alias("probe_id"), "name_kind", F.explode("forms").alias("t"))
     same = full.join(shuffled(probes.withColumnRenamed("t", "core")), ["name_kind", "core"]).where(F.col("id") != F.col("probe_id"))
     near = edit_join(full.select("id", F.concat(mark, "core").alias("s")), probes.select("probe_id", F.concat(mark, "t").alias("t")), k).where(F.col("distance") <= 2)
-    a = full.select("id", "name_kind", F.col("parts").alias("a_parts"), F.col("trade").alias("a_trade"))
-    b = full.select(F.col("id").alias("probe_id"), F.col("name_kind").alias("b_kind"), F.col("parts").alias("b_parts"), F.col("trade").alias("b_trade"))
+    a = full.select("id", "name_kind", F.col("parts").alias("a_parts"), F.col("trades").alias("a_trades"))
+    b = full.select(F.col("id").alias("probe_id"), F.col("name_kind").alias("b_kind"), F.col("core").alias("b_core"), F.col("parts").alias("b_parts"), F.col("trades").alias("b_trades"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = [_accept(*x) for x in zip(p.name_kind, p.a_parts, p.b_parts, p.a_trade, p.b_trade, p.distance)]
-            yield p.loc[np.array(ok, bool), ["id", "probe_id"]]
+            equal = p.form.notna()  # the words are those of a probe
+            x = [known_trade(t) for t in p.a_trades]
+            y = [_without_half(known_trade(t), f, c) if e else known_trade(t) for e, t, f, c in zip(equal, p.b_trades, p.form, p.b_core)]
+            ok = [
+                not trades_differ(k, m) if e else _accept(*row)
+                for e, k, m, row in zip(equal, x, y, zip(p.name_kind, p.a_parts, p.b_parts, p.a_trades, p.b_trades, p.distance))
+            ]
+            out = {"id": p.id, "probe_id": p.probe_id, "distance": p.distance, "a_trades": p.a_trades, "b_trades": p.b_trades, "a_known": x, "b_known": y}
+            yield pd.DataFrame(out)[np.array(ok, bool)]
+
+    met = near.withColumn("form", F.lit(None).cast("string")).unionByName(same.select("id", "probe_id", F.lit(0).alias("distance"), F.col("core").alias("form")))
+    alike = cut_lineage(
+        met.join(shuffled(a), "id")
+        .join(shuffled(b), "probe_id")
+        .where(F.col("name_kind") == F.col("b_kind"))
+        .mapInPandas(check, "id long, probe_id long, distance int, a_trades array<string>, b_trades array<string>, a_known string, b_known string")
+    )
 
-    alike = near.join(shuffled(a), "id").join(shuffled(b), "probe_id").where(F.col("name_kind") == F.col("b_kind")).mapInPandas(check, "id long, probe_id long")
-    links = alike.unionByName(same.select("id", "probe_id"))
-    links = cut_lineage(links.select(F.least("id", "probe_id").alias("src"), F.greatest("id", "probe_id").alias("dst")).distinct())
+    def unfit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = [(i, known) for i, trades, met in zip(p.id, p.trades, p.met) for known in _unfit(list(trades), [(m["distance"], m["known"]) for m in met])]
+            yield pd.DataFrame(rows, columns=["id", "known"])
+
+    # a firm of unknown trade between firms whose trades differ is linked to those it fits best
+    one_way = alike.select("id", F.col("probe_id").alias("to"), "distance", F.col("a_trades").alias("trades"), F.col("a_known").alias("own"), F.col("b_known").alias("known"))
+    other_way = alike.select(F.col("probe_id").alias("id"), F.col("id").alias("to"), "distance", F.col("b_trades").alias("trades"), F.col("b_known").alias("own"), F.col("a_known").alias("known"))
+    both_ways = one_way.unionByName(other_way)
+    to_known = both_ways.where((F.col("own") == "") & (F.col("known") != ""))
+    open_firms = to_known.groupBy("id").agg(F.first("trades").alias("trades"), F.collect_set(F.struct("distance", "known")).alias("met")).where(F.size("met") > 1)
+    apart = open_firms.mapInPandas(unfit, "id long, known string").withColumn("own", F.lit("")).withColumn("apart", F.lit(True))
+    links = both_ways.join(shuffled(apart), ["id", "own", "known"], "left").select(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst"), F.col("apart").isNotNull().alias("apart"))
+    links = cut_lineage(links.groupBy("src", "dst").agg(F.max("apart").alias("apart")).where(~F.col("apart")).select("src", "dst"))
     classes = cut_lineage(nodes.select("id").join(shuffled(connected_components(links).withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("class_id")))
 
     # shortened names: by the whole word, then the shortened one
@@ -323,10 +409,10 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     n = F.size("parts")
     first = F.struct(F.element_at("parts", 1).alias("word"), F.array_join(F.slice("parts", F.lit(2), n - 1), "").alias("other"))
     last = F.struct(F.element_at("parts", -1).alias("word"), F.array_join(F.slice("parts", F.lit(1), n - 1), "").alias("other"))
-    words = own.select("class_id", F.explode(F.array(first, last)).alias("w"), "forms", "trade", mark.alias("m")).select(
-        "class_id", F.concat("m", "w.word").alias("s"), "w.word", "w.other", "forms", "trade"
+    words = own.select("class_id", F.explode(F.array(first, last)).alias("w"), "forms", "trades", mark.alias("m")).select(
+        "class_id", F.concat("m", "w.word").alias("s"), "w.word", "w.other", "forms", "trades"
     )
-    cut_names = nodes.where(F.col("short").isNotNull()).select(F.col("id").alias("short_id"), F.concat(mark, "whole").alias("t"), "short", F.col("trade").alias("short_trade"))
+    cut_names = nodes.where(F.col("short").isNotNull()).select(F.col("id").alias("short_id"), F.concat(mark, "whole").alias("t"), "short", F.col("trades").alias("short_trades"))
     vocabulary = words.select("s").distinct().withColumn("id", F.xxhash64("s"))
     wanted = cut_names.select("t").distinct().withColumn("probe_id", F.xxhash64("t") + F.lit(1))
     close = edit_join(vocabulary, wanted, 2).where(F.col("distance") <= 1)
@@ -335,15 +421,15 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = [
-                not trades_differ(x, y) and (fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word)))
-                for s, word, other, forms, x, y in zip(p.short, p.word, p.other, p.forms, p.trade, p.short_trade)
+                not trades_differ(known_trade(x), known_trade(y)) and (fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word)))
+                for s, word, other, forms, x, y in zip(p.short, p.word, p.other, p.forms, p.trades, p.short_trades)
             ]
             yield p.loc[np.array(ok, bool), ["short_id", "class_id", "distance"]]
 
     found = (
         cut_names.join(shuffled(by_word), "t")
         .join(shuffled(words), "s")
-        .select("short_id", "short", "class_id", "distance", "word", "other", "forms", "trade", "short_trade")
+        .select("short_id", "short", "class_id", "distance", "word", "other", "forms", "trades", "short_trades")
         .mapInPandas(match, "short_id long, class_id long, distance int")
     )
     best = found.groupBy("short_id", "distance").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
@@ -355,8 +441,8 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     joined = joined.unionByName(lone.select("id", F.min("id").over(Window.partitionBy("name_kind", "whole", letter)).alias("joined")))
     final = classes.join(shuffled(joined), "id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"))
     degree = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    labelled = nodes.select("id", "name_kind", "core").join(shuffled(final), "id").join(shuffled(degree), "id", "left")
-    return spelled.select("name_kind", "name", "core").join(shuffled(labelled), ["name_kind", "core"]).select("name_kind", "name", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    labelled = nodes.select("id", "name_kind", "core", "trade_group").join(shuffled(final), "id").join(shuffled(degree), "id", "left")
+    return spelled.select("name_kind", "name", "core", "trade_group").join(shuffled(labelled), ["name_kind", "core", "trade_group"]).select("name_kind", "name", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def class_members(records: DataFrame, classes: DataFrame) -> DataFrame:

@@ -19,6 +19,18 @@ def test_companies(spark):
     assert sorted(same) in got and len(got) == 4
 
 
+def test_firms_with_equal_words_and_other_trades_stay_apart(spark):
+    got = classes(spark, "company", ["Varlo Stonegate Bakery", "Stonegate Varlo Fisheries", "Varlo Stonegate Fisheries Ltd", "Varlo Stonegate Fish.", "Varlo Stonegate", "Kembus Oldwharf Foods", "Kembus Oldwharf"])
+    assert got == [["Kembus Oldwharf", "Kembus Oldwharf Foods"], ["Stonegate Varlo Fisheries", "Varlo Stonegate Fish.", "Varlo Stonegate Fisheries Ltd"], ["Varlo Stonegate"], ["Varlo Stonegate Bakery"]]
+
+
+def test_a_full_spelling_stays_in_the_join_beside_a_shortened_one(spark):
+    got = classes(spark, "company", ["Varlo Stonegate", "Varlo Stonegate.", "Varlo Stonegaet"])
+    assert len(got) == 1
+    got = classes(spark, "company", ["Varlo Stonegate", "Varlo Stonegate.", "Varlo Sandhill", "Varlo Sandhill."])
+    assert len(got) == 2
+
+
 def test_contacts(spark):
     same = ["Katherine Dornebal", "Dornebal, Katherine", "Kate Dornebal", "K. Dornebal", "Dr. Katherine L. Dornebal", "KATHERINE DORNEBLA", "Dornebal Katherine", "Kat. Dornebal"]
     other = ["Robert Dornebal", "Katherine Pelvinor"]
