@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 #: More sources than this are refused, as rates are worked out in the driver.
 MAX_SOURCES = 100_000
-#: Largest number of repeats that can be asked for.
+#: Targets with more repeats than this are refused, as each is a column of the plan.
 MAX_REPEATS = 64
 
 
@@ -67,7 +67,8 @@ def draw(counted: DataFrame, targets: DataFrame, key: str = "doc_id", source: st
 
     ``targets`` has ``source``, ``target_weight`` and ``max_repeats``; sources that
     it doesn't name, a null source and null weights draw nothing. No record comes
-    more often than its source's ``max_repeats``. Of ``seeds`` hash seeds, each
+    more often than its source's ``max_repeats``, which may be MAX_REPEATS at most:
+    more raises an error. Of ``seeds`` hash seeds, each
     source takes the one that comes closest to its share, found in one pass over
     all records. The rows are in global random order: by ``mix_order`` within
     partitions that are ranges of it. Same input, same result; repeated keys are
@@ -76,7 +77,9 @@ def draw(counted: DataFrame, targets: DataFrame, key: str = "doc_id", source: st
     rows = targets.select("source", "target_weight", "max_repeats").where(F.col("source").isNotNull()).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = {r["source"]: (r["target_weight"] or 0.0, min(r["max_repeats"] or 0, MAX_REPEATS)) for r in rows}
+    if any((r["max_repeats"] or 0) > MAX_REPEATS for r in rows):
+        raise ValueError(f"max_repeats above {MAX_REPEATS}")
+    wanted = {r["source"]: (r["target_weight"] or 0.0, r["max_repeats"] or 0) for r in rows}
     sizes = {r[0]: int(r[1] or 0) for r in counted.where(F.col(source).isin(list(wanted))).groupBy(source).agg(F.sum(size)).collect()} if wanted else {}
     rates = mix_rates(sizes, wanted, total)
     spark = counted.sparkSession

@@ -11,6 +11,8 @@ from quern.llm import addresses, mixing, names, packing, percentiles, sentences,
 from quern.session import cut_lineage
 from quern.sources.tables import table
 
+#: More pack limits than this are refused, as each is a plan of its own.
+MAX_LIMITS = 1000
 SHARES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -95,11 +97,19 @@ def _document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(tokens.token_counts(texts, "doc_id", "text", ("source",)))
 
 
+def _pack_limits(spark: SparkSession, folder: str) -> list:
+    """Rows of pack_limits; more than MAX_LIMITS are refused."""
+    limits = table(spark, folder, "pack_limits").limit(MAX_LIMITS + 1).collect()
+    if len(limits) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} pack limits")
+    return limits
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in containers of each capacity of pack_limits (a small fixed table)."""
     counted = _document_tokens(spark, folder)
     rows = counted.count()
-    limits = table(spark, folder, "pack_limits").limit(1000).collect()
+    limits = _pack_limits(spark, folder)
     parts = [
         packing.pack(counted, "doc_id", "tokens", [r["capacity_tokens"]], rows=rows).select(
             F.lit(r["limit_name"]).alias("limit_name"),
@@ -119,7 +129,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 def p8_mixed_capacities(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in containers of the permitted capacities, chosen jointly."""
     counted = _document_tokens(spark, folder)
-    caps = [r["capacity_tokens"] for r in table(spark, folder, "pack_limits").limit(1000).collect()]
+    caps = [r["capacity_tokens"] for r in _pack_limits(spark, folder)]
     packed = packing.pack(counted, "doc_id", "tokens", caps)
     return packed.select(
         "container_id", "capacity", F.col("item").alias("doc_id"), "piece_no", "position", F.col("piece_start").alias("token_start"), F.col("piece_size").alias("token_count")

@@ -44,6 +44,23 @@ def test_shares_and_repeats(spark):
     assert orders == sorted(orders)
 
 
+def test_more_repeats_than_can_be_drawn_are_refused(spark):
+    docs, _ = inputs(spark)
+    targets = spark.createDataFrame([("a", 0.4, 100), ("b", 0.6, 1)], "source string, target_weight double, max_repeats int")
+    with pytest.raises(ValueError):
+        M.draw(docs, targets)
+
+
+def test_more_pack_limits_than_can_be_read_are_refused(spark, tmp_path):
+    from quern.llm import plans
+
+    spark.range(1001).selectExpr("cast(id AS string) AS limit_name", "id + 1 AS capacity_tokens").write.parquet(f"{tmp_path}/pack_limits.parquet")
+    spark.createDataFrame([(1, "a", "x y")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (plans.p8_containers, plans.p8_mixed_capacities):
+        with pytest.raises(ValueError):
+            query(spark, str(tmp_path))
+
+
 def test_empty(spark):
     docs, targets = inputs(spark)
     assert M.draw(docs.where("false"), targets).collect() == []
