@@ -211,10 +211,11 @@ def read_contact(name: str) -> dict | None:
 
 
 def _choices(options: list[list[str]]) -> list[list[str]]:
+    """All readings; each name that may stand for two doubles them."""
     out: list[list[str]] = [[]]
     for o in options:
         out = [x + [y] for x in out for y in o]
-    return out[:16]
+    return out
 
 
 def parse_names(df: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def _accept(kind: str, a_parts, b_parts, a_trades, b_trades, distance: int) -> b
     return distance <= 1 or (kind == "company" and distance <= 2 and one_trade)
 
 
-def link_names(names: DataFrame, k: int = 3) -> DataFrame:
+def link_names(names: DataFrame, k: int = 4) -> DataFrame:
     """``name_kind``, ``name``, ``class_id``, ``links`` for each distinct spelling.
 
     ``names`` has ``name_kind`` (``company`` or ``contact``) and ``name``. Spellings
@@ -336,6 +337,9 @@ def link_names(names: DataFrame, k: int = 3) -> DataFrame:
     of unknown trade joins those it fits best, and none of them if these differ. A spelling with an initial or a cut-off word joins the class
     that its whole word leads to, if there is exactly one such class. Null and blank
     names are left out, repeated rows count once, other columns are not read.
+
+    ``k`` bounds insertions, deletions and substitutions of candidates: a swap of
+    neighbours in each of two words takes four.
     """
     spelled = cut_lineage(parse_names(names.where(F.col("name").isNotNull()).select("name_kind", "name").distinct()))
     given = spelled.groupBy("name_kind", "core").agg(F.collect_set("trade").alias("trades"))

@@ -31,6 +31,16 @@ def test_a_full_spelling_stays_in_the_join_beside_a_shortened_one(spark):
     assert len(got) == 2
 
 
+def test_a_swap_in_each_word_is_found(spark):
+    got = classes(spark, "company", ["Notapi Kudiba", "Ntoapi Kduiba", "Ranumo Bigebi", "Rnaumo Bgiebi"])
+    assert got == [["Notapi Kudiba", "Ntoapi Kduiba"], ["Ranumo Bigebi", "Rnaumo Bgiebi"]]
+
+
+def test_all_readings_of_many_nicknames():
+    forms = N.read_contact("Ted Dolly Kate Pat Willy Dornebal")["forms"]
+    assert len(forms) == 32 and "theodore dorothy ekaterina patrick william dornebal" in forms
+
+
 def test_contacts(spark):
     same = ["Katherine Dornebal", "Dornebal, Katherine", "Kate Dornebal", "K. Dornebal", "Dr. Katherine L. Dornebal", "KATHERINE DORNEBLA", "Dornebal Katherine", "Kat. Dornebal"]
     other = ["Robert Dornebal", "Katherine Pelvinor"]
