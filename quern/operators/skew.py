@@ -111,26 +111,36 @@ def per_key_stats(df: DataFrame, key: str, value: str, share: float = 0.05) -> D
 
     Columns: ``key``, ``key_rows``, ``value_rows``, ``distinct_values``,
     ``value_sum``, ``value_avg``, ``value_min``, ``value_max``, ``is_hot``. All
-    rows with a null key form one key. Everything is merged from partial results:
-    rows of one key shrink to one row per (key, value) on the map side, are
-    spread over tasks by (key, value), and only sums of these reach the task of
-    the key. The heavy keys, at most ``1 / share``, are flagged by a broadcast
-    join. An empty table gives no row; a key without any value has null
+    rows with a null key form one key. Rows of the heavy keys, at most ``1 / share``,
+    are split off: they shrink to one row per (key, value) on the map side, are spread
+    over tasks by (key, value), and only sums of these reach the task of the key. The
+    rest is grouped by key, and both parts are united. An empty table gives no row; a key without any value has null
     statistics and zero counts.
     """
-    hot = heavy_keys(df, key, share).select(F.col(key).alias("__hot_key"))
-    pairs = df.select(key, value).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
-    n, v = F.col("__n"), F.col(value)
-    known = v.isNotNull()
+    hot = heavy_key_list(df, key, share)
+    heavy, rest = split_by_heavy(df.select(key, value), key, hot)
+    v = F.col(value)
+    cold = rest.groupBy(key).agg(
+        F.count(F.lit(1)).alias("key_rows"),
+        F.count(v).alias("value_rows"),
+        F.count_distinct(v).alias("distinct_values"),
+        F.sum(v).alias("value_sum"),
+        F.min(v).alias("value_min"),
+        F.max(v).alias("value_max"),
+        F.lit(False).alias("is_hot"),
+    )
+    pairs = heavy.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n")
     merged = pairs.groupBy(key).agg(
         F.sum(n).alias("key_rows"),
-        F.coalesce(F.sum(F.when(known, n)), F.lit(0).cast("long")).alias("value_rows"),
+        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0).cast("long")).alias("value_rows"),
         F.count(v).alias("distinct_values"),
         F.sum(v * n).alias("value_sum"),
         F.min(v).alias("value_min"),
         F.max(v).alias("value_max"),
+        F.lit(True).alias("is_hot"),
     )
-    flagged = merged.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
+    flagged = cold.unionByName(merged) if hot else cold
     return flagged.select(
         key,
         "key_rows",
@@ -140,5 +150,5 @@ def per_key_stats(df: DataFrame, key: str, value: str, share: float = 0.05) -> D
         F.round(F.col("value_sum") / F.when(F.col("value_rows") > 0, F.col("value_rows")), 4).alias("value_avg"),
         "value_min",
         "value_max",
-        F.col("__hot_key").isNotNull().alias("is_hot"),
+        "is_hot",
     )

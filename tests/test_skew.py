@@ -53,3 +53,10 @@ def test_per_key_stats(spark):
 def test_plan_of_stats_aggregates_before_each_exchange(spark):
     plan = skew.per_key_stats(frame(spark, [(1, 1.0, "a")] * 9).repartition(3), "k", "v")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_stats_of_heavy_keys_are_made_apart_and_united(spark):
+    rows = [(1, float(i % 3), "a") for i in range(20)] + [(k, 1.0, "b") for k in range(2, 8)] + [(None, 1.0, "c")]
+    got = skew.per_key_stats(frame(spark, rows), "k", "v", 0.5)
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["k"]: (r["key_rows"], r["distinct_values"], r["is_hot"]) for r in got.collect()} == {1: (20, 3, True), None: (1, 1, False), **{k: (1, 1, False) for k in range(2, 8)}}
