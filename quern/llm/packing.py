@@ -1,8 +1,8 @@
 """Items of varying size packed into containers of permitted capacities.
 
 Variable-capacity best fit: items go, largest first, into the open container
-with the least room that holds them; otherwise the capacity of least cost is opened,
-and in the end every container is downsized to the least capacity that holds its
+with the least room that holds them; otherwise the largest capacity is opened, or
+the least that holds all that remains, and in the end every container is downsized to the least capacity that holds its
 contents. Items are dealt out at random to shards of bounded size, which are packed
 each in one task; a shard leaves at most a few containers that aren't full.
 """
@@ -24,9 +24,8 @@ def best_fit(sizes: np.ndarray, capacities: Sequence[int]) -> tuple[np.ndarray,
     """Container and offset of every item, capacity of every container.
 
     Sizes are at most the largest capacity. A new container is opened with the
-    capacity of the least cost: the one whose empty room is expected to be least,
-    which is the largest as long as items remain that fill it, else the least that
-    holds what remains. Items of size 0 join the last container.
+    largest capacity as long as what remains fills it, else with the least that
+    holds what remains; other capacities come from downsizing at the end. Items of size 0 join the last container.
     """
     caps = sorted(int(c) for c in capacities)
     order = np.argsort(-sizes, kind="stable")

@@ -127,7 +127,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_mixed_capacities(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in containers of the permitted capacities, chosen jointly."""
+    """All documents in containers of the permitted capacities, opened at the largest and downsized."""
     counted = _document_tokens(spark, folder)
     caps = [r["capacity_tokens"] for r in _pack_limits(spark, folder)]
     packed = packing.pack(counted, "doc_id", "tokens", caps)
