@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.skew import heavy_key_list
+from quern.operators.skew import ROWS_PER_TASK, heavy_parts, spread
 
 #: End of a lifetime that has not ended.
 OPEN_END = "9999-12-31 23:59:59.999999"
@@ -26,8 +26,7 @@ def orphan_references(
     created: str | None = None,
     deleted: str | None = None,
     ref_field: str | None = None,
-    hot_share: float = 0.02,
-    salts: int = 64,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per child row whose reference has no parent alive at ``time``.
 
@@ -39,37 +38,31 @@ def orphan_references(
     null ``time`` can only be ``missing``, with null ``ym``. Repeated child rows
     give one row.
 
-    References with a key that holds ``hot_share`` of all rows are spread over
-    ``salts`` tasks, to each of which the lifetimes of that key are copied.
+    References with a key of more than ``rows_per_task`` rows are spread over as
+    many tasks as they need, to each of which the lifetimes of that key are copied.
     """
     label = ref_field or reference
-    hot = heavy_key_list(children, reference, hot_share)
+    parts, _ = heavy_parts(children.select(F.col(reference).cast("long").alias("k")), "k", rows_per_task)
     open_end = F.to_timestamp_ntz(F.lit(OPEN_END))
     never = F.lit(None).cast("timestamp_ntz")
-    is_hot = F.col("k").isin(hot) if hot else F.lit(False)
-    refs = (
-        children.select(F.col(reference).cast("long").alias("k"), F.col(child_key).cast("long").alias("child"), F.col(time).cast("timestamp_ntz").alias("at"))
-        .where(F.col("k").isNotNull())
-        .select(
-            "k",
-            F.when(is_hot, F.pmod(F.xxhash64("child"), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt"),
-            F.lit(2).alias("kind"),
-            "at",
-            "child",
-            never.alias("begin"),
-            never.alias("end"),
-        )
+    known = children.select(F.col(reference).cast("long").alias("k"), F.col(child_key).cast("long").alias("child"), F.col(time).cast("timestamp_ntz").alias("at"))
+    tasks = F.coalesce("__tasks", F.lit(1).cast("long"))
+    # children without a key don't say which task they go to by it alone: the time deals them out, too
+    refs = spread(known.where(F.col("k").isNotNull()), "k", parts).select(
+        "k",
+        F.pmod(F.xxhash64("child", "at"), tasks).alias("salt"),
+        F.lit(2).alias("kind"),
+        "at",
+        "child",
+        never.alias("begin"),
+        never.alias("end"),
     )
-    lives = (
-        parents.select(
-            F.col(parent_key).cast("long").alias("k"),
-            (F.col(created).cast("timestamp_ntz") if created else never).alias("begin"),
-            F.coalesce(F.col(deleted).cast("timestamp_ntz"), open_end).alias("end") if deleted else open_end.alias("end"),
-        )
-        .where(F.col("k").isNotNull())
-        .distinct()
-        .withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    lives = parents.select(
+        F.col(parent_key).cast("long").alias("k"),
+        (F.col(created).cast("timestamp_ntz") if created else never).alias("begin"),
+        F.coalesce(F.col(deleted).cast("timestamp_ntz"), open_end).alias("end") if deleted else open_end.alias("end"),
     )
+    lives = spread(lives.where(F.col("k").isNotNull()).distinct(), "k", parts).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))).drop("__tasks")
     no_child = F.lit(None).cast("long").alias("child")
     # kind 0 sorts before all times and says that the key exists; kind 1 begins a lifetime
     exists = lives.select("k", "salt").distinct().select("k", "salt", F.lit(0).alias("kind"), never.alias("at"), no_child, never.alias("begin"), never.alias("end"))

@@ -4,17 +4,38 @@ Row counts per key are never gathered in one place. A first pass counts rows per
 hash bucket (a one-row count sketch of fixed size); only keys that fall in a
 bucket which could hold a heavy key are counted exactly in the second pass, so no
 heavy key is missed and no light key is reported.
+
+What counts as heavy follows from what a task can hold, not from a share of the
+table: a key is treated apart as soon as it has more rows than one task should
+work on, and is spread over as many tasks as its own rows need.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of the sketch: bounds what the driver gets from the first pass.
 SKETCH_BUCKETS = 4096
+#: Rows of one key that a task works on; a key with more is heavy.
+ROWS_PER_TASK = 100_000
+#: Heavy keys at most: bounds the table of them, which is broadcast.
+MOST_HEAVY = 100_000
+#: Rows and bytes (as JSON text) of a join's other side up to which its heavy part is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def _sketch(df: DataFrame, key: str, buckets: int) -> tuple[Column, dict[int | None, int]]:
+    """The bucket of a row, and the rows of every bucket; null keys are in the bucket None."""
+    bucket = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
+    return bucket, {r["b"]: r["count"] for r in df.select(bucket.alias("b")).groupBy("b").count().collect()}
+
+
+def _above(df: DataFrame, key: str, bucket: Column, sketch: dict[int | None, int], least: float) -> DataFrame:
+    hot = [b for b, rows in sketch.items() if b is not None and rows >= least]
+    if not hot:
+        return df.select(key).where(F.lit(False)).withColumn("key_rows", F.lit(0).cast("long"))
+    return df.select(key).where(bucket.isin(hot)).groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).where(F.col("key_rows") >= F.lit(least))
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.05, buckets: int = SKETCH_BUCKETS) -> DataFrame:
@@ -26,33 +47,48 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.05, buckets: int = SKET
     """
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets))
-    sketch = df.select(F.when(F.col(key).isNotNull(), bucket).alias("b")).groupBy("b").count().collect()
-    total = sum(r["count"] for r in sketch)
-    least = share * total
-    hot = [r["b"] for r in sketch if r["b"] is not None and r["count"] >= least]
-    if not hot:
-        return df.select(key).where(F.lit(False)).withColumn("key_rows", F.lit(0).cast("long"))
-    return (
-        df.select(key)
-        .where(F.col(key).isNotNull() & bucket.isin(hot))
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("key_rows"))
-        .where(F.col("key_rows") >= F.lit(least))
-    )
+    bucket, sketch = _sketch(df, key, buckets)
+    return _above(df, key, bucket, sketch, share * sum(sketch.values()))
 
 
-def heavy_key_list(df: DataFrame, key: str, share: float = 0.05) -> list:
-    """The heavy keys as a list of at most ``1 / share`` values."""
-    return sorted(r[0] for r in heavy_keys(df, key, share).select(key).collect())
+def heavy_parts(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, share: float | None = None, buckets: int = SKETCH_BUCKETS) -> tuple[list[tuple], int]:
+    """``(key, rows, tasks)`` of every key with more than ``rows_per_task`` rows, and the number of all rows.
 
+    ``tasks`` is how many tasks its rows need. With ``share``, keys that hold that
+    share of all rows are among them, however few their rows are. A table so large
+    that more than MOST_HEAVY keys could be heavy has the limit raised to that
+    part of its rows, so that the list stays bounded: a key that counts as light
+    then has at most a MOST_HEAVY-th of all rows. Null is never heavy.
+    """
+    if rows_per_task < 1:
+        raise ValueError("rows_per_task must be positive")
+    bucket, sketch = _sketch(df, key, buckets)
+    total = sum(sketch.values())
+    least = max(rows_per_task + 1, total / MOST_HEAVY)
+    if share is not None:
+        least = min(least, max(share * total, 1))
+    found = _above(df, key, bucket, sketch, least).collect()
+    return sorted((r[key], r["key_rows"], -(-r["key_rows"] // rows_per_task)) for r in found), total
 
-def split_by_heavy(df: DataFrame, key: str, hot: Sequence) -> tuple[DataFrame, DataFrame]:
-    """``(rows of heavy keys, all other rows)``; null keys are among the others."""
-    if not hot:
-        return df.where(F.lit(False)), df
-    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
-    return df.where(is_hot), df.where(~is_hot)
+
+def _table(df: DataFrame, key: str, parts: list[tuple], column: str = "__hot_key") -> DataFrame:
+    """The heavy keys with their ``__tasks``, to be broadcast: MOST_HEAVY rows at most."""
+    kind = df.schema[key].dataType.simpleString()
+    return F.broadcast(df.sparkSession.createDataFrame([(k, n) for k, _, n in parts], f"{column} {kind}, __tasks long"))
+
+
+def spread(df: DataFrame, key: str, parts: list[tuple]) -> DataFrame:
+    """``df`` with ``__tasks``: for rows of heavy keys how many tasks the key needs, else null."""
+    if not parts:
+        return df.withColumn("__tasks", F.lit(None).cast("long"))
+    hot = _table(df, key, parts)
+    return df.join(hot, F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
+
+
+def _small(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes; reads no more than it must."""
+    head = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
+    return head["n"] <= rows and (head["size"] or 0) <= size
 
 
 def skew_join(
@@ -61,17 +97,18 @@ def skew_join(
     key: str,
     right_key: str | None = None,
     how: str = "inner",
-    share: float = 0.02,
-    broadcast_rows: int = 100_000,
-    salts: int = 32,
+    rows_per_task: int = ROWS_PER_TASK,
+    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on one key, whose heavy values are treated apart.
 
-    ``how`` is ``inner`` or ``left``. Heavy keys are those that hold ``share`` of
-    the left rows. Their rows meet the matching right rows by a broadcast join if
-    these are at most ``broadcast_rows`` (counted first); beyond that both sides
-    are salted: left rows get one of ``salts`` numbers, right rows all of them.
-    Other keys go through an ordinary shuffled join, and both parts are united.
+    ``how`` is ``inner`` or ``left``. Heavy keys are those with more than
+    ``rows_per_task`` rows on either side. Left rows of these meet the matching
+    right rows by a broadcast join if those are at most ``broadcast_rows`` and
+    ``broadcast_bytes`` (measured first). Beyond that the side of a key with more rows is
+    dealt over as many tasks as it needs, and rows of the other side are copied to
+    each. Other keys go through an ordinary shuffled join, and both parts are united.
     Null keys match nothing. Right columns whose names are on the left, too, get
     the suffix ``_right``; the key comes once when ``right_key`` isn't given.
     """
@@ -81,12 +118,10 @@ def skew_join(
     taken = set(left.columns) - ({key} if other == key else set())
     right = right.select(*[right[c].alias(f"{c}_right" if c in taken else c) for c in right.columns])
     other = f"{other}_right" if other in taken else other
-    hot = heavy_key_list(left, key, share)
-    hot_left, cold_left = split_by_heavy(left, key, hot)
-    hot_right, cold_right = split_by_heavy(right, other, hot)
+    l_tasks, r_tasks = ({k: n for k, _, n in heavy_parts(df, c, rows_per_task)[0]} for df, c in ((left, key), (right, other)))
     marked = "__right_key"
 
-    def joined(a: DataFrame, b: DataFrame, extra: Column | None = None) -> DataFrame:
+    def joined(a: DataFrame, b: DataFrame, how: str, extra: Column | None = None) -> DataFrame:
         b = b.withColumnRenamed(other, marked)
         condition = a[key] == b[marked]
         if extra is not None:
@@ -94,61 +129,86 @@ def skew_join(
         out = a.join(b, condition, how)
         return out.drop(marked) if other == key else out.withColumnRenamed(marked, other)
 
-    cold = joined(cold_left, cold_right)
-    if not hot:
-        return cold
-    if hot_right.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        heavy = joined(hot_left, F.broadcast(hot_right))
-    else:
-        a = hot_left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in hot_left.columns]), F.lit(salts)).cast("int"))
-        b = hot_right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        heavy = joined(a, b, F.col("__salt") == F.col("__salt_r")).drop("__salt", "__salt_r")
-    return cold.unionByName(heavy)
-
-
-def per_key_stats(df: DataFrame, key: str, value: str, share: float = 0.05) -> DataFrame:
+    heavy = sorted({*l_tasks, *r_tasks})
+    if not heavy:
+        return joined(left, right, how)
+    # tasks of a key on each side: more than one on the side with more rows only
+    split = [(k, l_tasks.get(k, 1), r_tasks.get(k, 1)) for k in heavy]
+    sides = []
+    for df, column, at in ((left, key, 1), (right, other, 2)):
+        parts = [(x[0], 0, x[at] if x[at] >= x[3 - at] else 1) for x in split]
+        copies = [(x[0], 0, x[3 - at] if x[at] < x[3 - at] else 1) for x in split]
+        sides.append((df, column, parts, copies))
+    (l_df, l_key, l_deal, l_copy), (r_df, r_key, r_deal, r_copy) = sides
+    hot_left = l_df.join(_table(l_df, l_key, l_deal), F.col(l_key) == F.col("__hot_key")).drop("__hot_key")
+    hot_right = r_df.join(_table(r_df, r_key, r_deal), F.col(r_key) == F.col("__hot_key")).drop("__hot_key")
+    cold_left = l_df.join(_table(l_df, l_key, l_deal), F.col(l_key) == F.col("__hot_key"), "left_anti")
+    cold_right = r_df.join(_table(r_df, r_key, r_deal), F.col(r_key) == F.col("__hot_key"), "left_anti")
+    cold = joined(cold_left, cold_right, how)
+    plain_left, plain_right = hot_left.drop("__tasks"), hot_right.drop("__tasks")
+    if _small(plain_right, broadcast_rows, broadcast_bytes):
+        return cold.unionByName(joined(plain_left, F.broadcast(plain_right), how))
+
+    def dealt(df: DataFrame, column: str, names: list[str], copies: list[tuple], out: str) -> DataFrame:
+        """Rows with the task of their key: one of its ``__tasks``, or each where the other side is dealt."""
+        mine = F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.col("__tasks")).cast("long")
+        renamed = _table(df, column, copies, "__copy_key").withColumnRenamed("__tasks", "__copies")
+        with_copies = df.join(renamed, F.col(column) == F.col("__copy_key")).drop("__copy_key")
+        each = F.when(F.col("__copies") > 1, F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).otherwise(F.array(mine))
+        return with_copies.withColumn(out, F.explode(each)).drop("__tasks", "__copies")
+
+    a = dealt(hot_left, l_key, left.columns, l_copy, "__task_l")
+    b = dealt(hot_right, r_key, right.columns, r_copy, "__task_r")
+    united = cold.unionByName(joined(a, b, "inner", F.col("__task_l") == F.col("__task_r")).drop("__task_l", "__task_r"))
+    if how == "left":  # heavy keys without any right row; there are MOST_HEAVY keys at most
+        present = plain_right.select(F.col(r_key).alias("__present")).distinct()
+        alone = plain_left.join(F.broadcast(present), F.col(l_key) == F.col("__present"), "left_anti")
+        united = united.unionByName(joined(alone, plain_right.where(F.lit(False)), how))
+    return united
+
+
+def per_key_stats(df: DataFrame, key: str, value: str, share: float = 0.05, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rows, non-null values, distinct values, sum, mean, least and greatest value of every key.
 
     Columns: ``key``, ``key_rows``, ``value_rows``, ``distinct_values``,
-    ``value_sum``, ``value_avg``, ``value_min``, ``value_max``, ``is_hot``. All
-    rows with a null key form one key. Rows of the heavy keys, at most ``1 / share``,
-    are split off: they shrink to one row per (key, value) on the map side, are spread
+    ``value_sum``, ``value_avg``, ``value_min``, ``value_max``, ``is_hot`` (whether
+    the key holds ``share`` of all rows). All
+    rows with a null key form one key. Rows of keys that are heavy by ``share`` or
+    ``rows_per_task`` are split off by a broadcast join with the table of heavy keys: they
+    shrink to one row per (key, value) on the map side, are spread
     over tasks by (key, value), and only sums of these reach the task of the key. The
-    rest is grouped by key, and both parts are united. An empty table gives no row; a key without any value has null
-    statistics and zero counts.
+    rest is grouped by key, and both parts are united. Nothing is rounded. An empty
+    table gives no row; a key without any value has null statistics and zero counts.
     """
-    hot = heavy_key_list(df, key, share)
-    heavy, rest = split_by_heavy(df.select(key, value), key, hot)
+    parts, total = heavy_parts(df, key, rows_per_task, share)
+    rows = df.select(key, value)
     v = F.col(value)
-    cold = rest.groupBy(key).agg(
+    measures = (
         F.count(F.lit(1)).alias("key_rows"),
         F.count(v).alias("value_rows"),
         F.count_distinct(v).alias("distinct_values"),
         F.sum(v).alias("value_sum"),
         F.min(v).alias("value_min"),
         F.max(v).alias("value_max"),
-        F.lit(False).alias("is_hot"),
-    )
-    pairs = heavy.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    merged = pairs.groupBy(key).agg(
-        F.sum(n).alias("key_rows"),
-        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0).cast("long")).alias("value_rows"),
-        F.count(v).alias("distinct_values"),
-        F.sum(v * n).alias("value_sum"),
-        F.min(v).alias("value_min"),
-        F.max(v).alias("value_max"),
-        F.lit(True).alias("is_hot"),
-    )
-    flagged = cold.unionByName(merged) if hot else cold
-    return flagged.select(
-        key,
-        "key_rows",
-        "value_rows",
-        "distinct_values",
-        F.round("value_sum", 2).alias("value_sum"),
-        F.round(F.col("value_sum") / F.when(F.col("value_rows") > 0, F.col("value_rows")), 4).alias("value_avg"),
-        "value_min",
-        "value_max",
-        "is_hot",
     )
+    out = rows.groupBy(key).agg(*measures)
+    if parts:
+        hot = _table(df, key, parts)
+        on = F.col(key) == F.col("__hot_key")
+        out = rows.join(hot, on, "left_anti").groupBy(key).agg(*measures)
+        pairs = rows.join(hot, on).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+        n = F.col("__n")
+        merged = pairs.groupBy(key).agg(
+            F.sum(n).alias("key_rows"),
+            F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0).cast("long")).alias("value_rows"),
+            F.count(v).alias("distinct_values"),
+            F.sum(v * n).alias("value_sum"),
+            F.min(v).alias("value_min"),
+            F.max(v).alias("value_max"),
+        )
+        out = out.unionByName(merged)
+    hottest = [k for k, n, _ in parts if n >= share * total]
+    is_hot = F.coalesce(F.col(key).isin(hottest), F.lit(False)) if hottest else F.lit(False)
+    mean = F.col("value_sum") / F.when(F.col("value_rows") > 0, F.col("value_rows"))
+    return out.select(key, "key_rows", "value_rows", "distinct_values", "value_sum", mean.alias("value_avg"), "value_min", "value_max", is_hot.alias("is_hot"))
+

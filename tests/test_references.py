@@ -24,8 +24,8 @@ PARENTS = [
 ]
 
 
-@pytest.mark.parametrize("share", [0.01, 1.0])  # every key hot, no key hot
-def test_reasons(spark, share):
+@pytest.mark.parametrize("rows", [1, 1000])  # repeated keys dealt over tasks, no key dealt
+def test_reasons(spark, rows):
     children = [
         (1, 1, D(2023, 4, 1), "a"),
         (2, 2, D(2023, 3, 1), "a"),  # the end is excluded
@@ -41,7 +41,7 @@ def test_reasons(spark, share):
         (11, 9, None, "a"),
         (12, 1, None, "a"),
     ]
-    assert found(spark, children, PARENTS, hot_share=share, salts=3) == [
+    assert found(spark, children, PARENTS, rows_per_task=rows) == [
         (2, "deleted", "2023-03"),
         (5, "deleted", "2023-07"),
         (6, "late", "2023-12"),

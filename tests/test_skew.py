@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from quern.operators import skew
 
 
@@ -22,23 +25,46 @@ def test_heavy_keys_against_brute_force(spark):
     assert got == want
 
 
+def test_heavy_parts_follow_the_rows_of_a_task(spark):
+    rows = [(1, 1.0, "a")] * 25 + [(2, 1.0, "a")] * 10 + [(None, 1.0, "a")] * 50 + [(3, 1.0, "a")]
+    assert skew.heavy_parts(frame(spark, rows), "k", 10) == ([(1, 25, 3)], 86)
+    assert skew.heavy_parts(frame(spark, rows), "k", 1000, share=0.1) == ([(1, 25, 1), (2, 10, 1)], 86)
+    assert skew.heavy_parts(frame(spark, []), "k", 1, share=0.1) == ([], 0)
+    with pytest.raises(ValueError):
+        skew.heavy_parts(frame(spark, rows), "k", 0)
+
+
 def test_skew_join_equals_plain_join(spark):
     left = frame(spark, [(i % 4 if i % 5 else None, float(i), "l") for i in range(200)])
     right = spark.createDataFrame([(k, f"d{k}", "r") for k in (0, 0, 1, 3, None)], "k long, d string, x string")
-    for how in ("inner", "left"):
-        plain = left.join(right.withColumnRenamed("x", "x_right"), "k", how)
-        for rows in (100, 0):  # by broadcast, and salted
-            got = skew.skew_join(left, right, "k", how=how, share=0.1, broadcast_rows=rows, salts=3)
-            assert got.columns == ["k", "v", "x", "d", "x_right"]
-            assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.select(got.columns).collect()))
+    wide = spark.createDataFrame([(k % 3, f"d{k}", "r") for k in range(150)], "k long, d string, x string")
+    for a, b in ((left, right), (left, wide), (wide.select("k", F.lit(1.5).alias("v"), "x"), left.select("k", F.col("v").cast("string").alias("d"), "x"))):
+        for how in ("inner", "left"):
+            plain = a.join(b.withColumnRenamed("x", "x_right"), "k", how)
+            for limit in ({}, {"broadcast_rows": 0}, {"broadcast_bytes": 10}):  # by broadcast, and dealt over tasks
+                got = skew.skew_join(a, b, "k", how=how, rows_per_task=7, **limit)
+                assert got.columns == ["k", "v", "x", "d", "x_right"]
+                assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.select(got.columns).collect()))
+
+
+def test_no_task_of_a_dealt_join_has_many_more_rows_than_wanted(spark):
+    """One key holds 1 % of the rows, far below any share, and both sides are too large to broadcast."""
+    n = 40_000
+    left = spark.range(n).select(F.when(F.col("id") % 100 == 0, -1).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("v"))
+    right = spark.range(60).select(F.lit(-1).cast("long").alias("k"), F.col("id").alias("w"))
+    got = skew.skew_join(left, right, "k", rows_per_task=50, broadcast_rows=0)
+    a = got.groupBy(F.pmod(F.xxhash64("k", "v"), F.lit(8))).count().collect()
+    assert sum(r["count"] for r in a) == n // 100 * 60
+    assert dict((k, t) for k, _, t in skew.heavy_parts(left, "k", 50)[0])[-1] == 8
 
 
 def test_skew_join_with_two_key_names_and_clashing_columns(spark):
     left = frame(spark, [(1, 1.0, "a"), (2, 2.0, "b")])
     right = spark.createDataFrame([(1, 5.0)], "k long, v double")
-    got = skew.skew_join(left, right.withColumnRenamed("k", "id"), "k", "id", share=0.9)
-    assert got.columns == ["k", "v", "x", "id", "v_right"]
-    assert [tuple(r) for r in got.collect()] == [(1, 1.0, "a", 1, 5.0)]
+    for rows in (1, 1000):
+        got = skew.skew_join(left.unionByName(left), right.withColumnRenamed("k", "id"), "k", "id", rows_per_task=rows)
+        assert got.columns == ["k", "v", "x", "id", "v_right"]
+        assert [tuple(r) for r in got.collect()] == [(1, 1.0, "a", 1, 5.0)] * 2
 
 
 def test_per_key_stats(spark):
