@@ -143,24 +143,33 @@ def double_pointers(nodes: DataFrame) -> DataFrame:
     steps = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
     state = _settle(links.select("node", "parent", "up", F.coalesce("up", "node").alias("top"), steps.alias("steps"), F.least("node", "up").alias("low")))
     ended = state.where(F.col("up").isNull()).select("node", "parent", "top", "steps")
-    paths = cut_lineage(ended.join(shuffled(links.select("node", "up")), "node").select("node", "parent", "up", "top", "steps", F.col("node").cast("string").alias("path")))
+    start = ended.join(shuffled(links.select("node", "up")), "node")
+    paths = cut_lineage(start.select("node", "parent", "up", "top", "steps", F.col("node").cast("string").alias("path"), F.lit(1).cast("long").alias("below")))
     while paths.where(F.col("up").isNotNull()).limit(1).count():
+        # ``up`` is 2^j links above; ``below`` counts the subtree down to 2^j - 1 links, and so do
+        # those of the nodes 2^j links below, whose sum adds the next 2^j levels
+        deeper = paths.where(F.col("up").isNotNull()).groupBy("up").agg(F.sum("below").alias("more")).withColumnRenamed("up", "node")
         hop = paths.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         paths = cut_lineage(
-            paths.join(shuffled(hop), "up", "left").select("node", "parent", F.col("up2").alias("up"), "top", "steps", F.concat_ws("/", "path2", "path").alias("path"))
+            paths.join(shuffled(hop), "up", "left")
+            .join(shuffled(deeper), "node", "left")
+            .select(
+                "node",
+                "parent",
+                F.col("up2").alias("up"),
+                "top",
+                "steps",
+                F.concat_ws("/", "path2", "path").alias("path"),
+                (F.col("below") + F.coalesce("more", F.lit(0).cast("long"))).alias("below"),
+            )
         )
-    below = (
-        paths.select(F.explode(F.split("path", "/")).alias("a"))
-        .groupBy(F.col("a").cast("long").alias("node"))
-        .agg((F.count(F.lit(1)) - 1).alias("descendants"))
-    )
-    tree = paths.join(shuffled(below), "node").select(
+    tree = paths.select(
         "node",
         "parent",
         F.col("top").alias("root_id"),
         F.col("steps").cast("int").alias("tree_depth"),
         F.col("path").alias("path_ids"),
-        "descendants",
+        (F.col("below") - 1).alias("descendants"),
         F.lit(False).alias("is_back_edge"),
     )
     endless = cut_lineage(state.where(F.col("up").isNotNull()).select("node", "parent"))
