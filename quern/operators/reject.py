@@ -19,16 +19,19 @@ from pyspark.sql import types as T
 from quern.session import ship_package
 
 QUOTE, COMMA, CR = 0x22, 0x2C, 0x0D
+#: Bytes of records that are indexed at once; bounds the memory of a task, but for a single longer record.
+SLICE_BYTES = 4 << 20
 
 
 class Indexed:
     """Structural index of records: field bounds and a verdict on the quotes."""
 
-    def __init__(self, lines: Sequence[str | None]):
-        texts = pa.array([x or "" for x in lines], pa.large_utf8())
+    def __init__(self, lines: pa.Array):
+        texts = pc.fill_null(pc.cast(lines, pa.large_utf8()), "")
         raw = texts.buffers()[2]
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-        data = np.frombuffer(raw, np.uint8)[: bounds[-1]] if raw is not None and bounds[-1] else np.zeros(0, np.uint8)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None and bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+        bounds = bounds - bounds[0]
         begin, end = bounds[:-1], bounds[1:].copy()
         last = data[np.maximum(end - 1, 0)] if len(data) else np.zeros(len(end), np.uint8)
         end -= (end > begin) & (last == CR)
@@ -119,8 +122,18 @@ def unsigned_decimal(text: pa.Array) -> pa.Array:
 
 
 def _long(text: pa.Array) -> pa.Array:
-    ok = pc.fill_null(pc.match_substring_regex(text, r"^[+-]?[0-9]{1,18}$"), False)
-    return pc.cast(pc.if_else(ok, pc.utf8_ltrim(text, "+"), pa.scalar(None, pa.large_utf8())), pa.int64())
+    """All whole numbers of 64 bits, leading zeros and a sign included; null for others."""
+    ok = pc.fill_null(pc.match_substring_regex(text, r"^[+-]?[0-9]+$"), False)
+    minus = pc.fill_null(pc.starts_with(text, "-"), False)
+    digits = pc.utf8_ltrim(pc.utf8_ltrim(pc.if_else(ok, text, "0"), "+-"), "0")
+    digits = pc.if_else(pc.equal(digits, ""), "0", digits)
+    size = pc.utf8_length(digits)
+    # of 19 digits, the order of the texts is that of the numbers
+    limit = pc.if_else(minus, str(2**63), str(2**63 - 1))
+    fits = pc.and_(ok, pc.or_(pc.less(size, 19), pc.and_(pc.equal(size, 19), pc.less_equal(digits, limit))))
+    large = pa.large_utf8()
+    signed = pc.binary_join_element_wise(pc.if_else(minus, pa.scalar("-", large), pa.scalar("", large)), digits, pa.scalar("", large))
+    return pc.cast(pc.if_else(fits, signed, pa.scalar(None, large)), pa.int64())
 
 
 def _double(text: pa.Array) -> pa.Array:
@@ -133,58 +146,83 @@ def _date(text: pa.Array) -> pa.Array:
     return pa.array(pd.to_datetime(pd.Series(pc.if_else(ok, text, pa.scalar(None, pa.large_utf8())).to_pandas()), format="%Y-%m-%d", errors="coerce").dt.date, pa.date32())
 
 
-KINDS = {"string": (pa.string(), lambda t: pc.cast(t, pa.string())), "long": (pa.int64(), _long), "double": (pa.float64(), _double), "date": (pa.date32(), _date)}
-SPARK = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
+def _timestamp(text: pa.Array) -> pa.Array:
+    """The first moment of a day."""
+    return pc.cast(_date(text), pa.timestamp("us"))
+
+
+KINDS = {"timestamp": (pa.timestamp("us"), _timestamp), "string": (pa.string(), lambda t: pc.cast(t, pa.string())), "long": (pa.int64(), _long), "double": (pa.float64(), _double), "date": (pa.date32(), _date)}
+SPARK = {"timestamp": T.TimestampNTZType(), "string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
 
 #: One column of the record: name, kind of ``KINDS``, check or None.
 Column = tuple[str, str, Callable[[pa.Array], pa.Array] | None]
 
 
+def _slices(lines: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of records with about SLICE_BYTES bytes each."""
+    sizes = pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum(sizes) // SLICE_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(bounds, bounds[1:]) if b > a)
+
+
 def parse_records(df: DataFrame, key: str, line: str, columns: Sequence[Column]) -> DataFrame:
     """Every record of ``df`` as a typed row or a reasoned reject.
 
-    Columns: ``key``, ``reject_reason`` and, prefixed by ``v_``, the columns of
-    the record. The reason is null for a valid record, else the first that holds
+    Columns: ``key``, ``reject_reason``, ``unfit_columns`` and, prefixed by ``v_``,
+    the columns of the record. The reason is null for a valid record, else the first that holds
     of ``quoting`` (a double quote other than around a whole field or doubled in
     one, or a field left open), ``columns`` (not as many fields as columns) and
     ``value`` (a column's check fails). Checks see values without surrounding
     blanks; empty values and ``NULL`` are missing and valid. One carriage return at
     the very end isn't part of a record. A null record counts as an empty one,
-    which has one field. Values of rejects are null, as are values that pass the
-    checks but do not fit the kind. Records are whole values: line breaks within
+    which has one field. Values of rejects are null. A value that no check refuses
+    but that isn't of its column's kind (a word or more than 64 bits for a whole number, a day that
+    doesn't exist) is null in the valid row, and ``unfit_columns`` names such columns, joined by
+    commas; it is null for rows without any. Records are whole values: line breaks within
     are data. The schema is that of the result for an empty table, too.
     """
     ship_package(df.sparkSession)
     fields = list(columns)
     schema = T.StructType(
-        [T.StructField(key, df.schema[key].dataType), T.StructField("reject_reason", T.StringType())]
+        [T.StructField(key, df.schema[key].dataType), T.StructField("reject_reason", T.StringType()), T.StructField("unfit_columns", T.StringType())]
         + [T.StructField(f"v_{name}", SPARK[kind]) for name, kind, _ in fields]
     )
 
+    def parse_slice(keys: pa.Array, lines: pa.Array) -> pa.RecordBatch:
+        index = Indexed(lines)
+        n = len(lines)
+        reason = np.full(n, None, object)
+        right = index.columns == len(fields)
+        reason[~right] = "columns"
+        reason[~index.quotes_ok] = "quoting"
+        rows = np.flatnonzero(right & index.quotes_ok)
+        values = [_clean(index.field(k, rows)) for k in range(len(fields))]
+        fails = np.zeros(len(rows), bool)
+        for (_, _, check), value in zip(fields, values):
+            if check is not None:
+                fails |= ~pc.fill_null(check(value), True).to_numpy(zero_copy_only=False)
+        reason[rows[fails]] = "value"
+        place = np.full(n, -1, np.int64)
+        place[rows[~fails]] = np.flatnonzero(~fails)
+        take = pa.array(np.where(place < 0, 0, place), mask=place < 0)
+        typed, unfit = [], np.full(len(rows), "", object)
+        for (name, kind, _), value in zip(fields, values):
+            to, cast = KINDS[kind]
+            got = cast(value)
+            lost = pc.and_(pc.is_null(got), pc.is_valid(value)).to_numpy(zero_copy_only=False)
+            if lost.any():
+                unfit[lost] += f",{name}"
+            typed.append(got.take(take) if len(rows) else pa.nulls(n, to))
+        named = pa.array([x[1:] or None for x in unfit], pa.string())
+        out = [keys, pa.array(reason, pa.string()), named.take(take) if len(rows) else pa.nulls(n, pa.string()), *typed]
+        return pa.RecordBatch.from_arrays([pc.cast(c, pa.int64()) if k == 0 and pa.types.is_integer(c.type) else c for k, c in enumerate(out)], names=schema.names)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index = Indexed(batch.column(1).to_pylist())
-            n = len(batch)
-            reason = np.full(n, None, object)
-            right = index.columns == len(fields)
-            reason[~right] = "columns"
-            reason[~index.quotes_ok] = "quoting"
-            rows = np.flatnonzero(right & index.quotes_ok)
-            raw = [index.field(k, rows) for k in range(len(fields))]
-            values = [_clean(x) for x in raw]
-            fails = np.zeros(len(rows), bool)
-            for (_, _, check), value in zip(fields, values):
-                if check is not None:
-                    fails |= ~pc.fill_null(check(value), True).to_numpy(zero_copy_only=False)
-            reason[rows[fails]] = "value"
-            place = np.full(n, -1, np.int64)
-            place[rows[~fails]] = np.flatnonzero(~fails)
-            take = pa.array(np.where(place < 0, 0, place), mask=place < 0)
-            out = [batch.column(0), pa.array(reason, pa.string())]
-            for (_, kind, _), value in zip(fields, values):
-                to, cast = KINDS[kind]
-                out.append(cast(value).take(take) if len(rows) else pa.nulls(n, to))
-            yield pa.RecordBatch.from_arrays([pc.cast(c, pa.int64()) if k == 0 and pa.types.is_integer(c.type) else c for k, c in enumerate(out)], names=schema.names)
+            keys, lines = batch.column(0), batch.column(1)
+            for a, b in _slices(lines):
+                yield parse_slice(keys.slice(a, b - a), lines.slice(a, b - a))
 
     return df.select(key, line).mapInArrow(parse, schema)
 
@@ -195,8 +233,8 @@ def rejects(parsed: DataFrame, key: str) -> DataFrame:
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:
-    """The typed rows of the valid records, under the names of their columns."""
+    """The typed rows of the valid records, under the names of their columns, with ``unfit_columns`` last."""
     names = [c for c in parsed.columns if c.startswith("v_")]
     key = parsed.columns[0]
     kept = parsed.where(parsed["reject_reason"].isNull())
-    return kept.select(kept[key], *[kept[c].alias(c[2:]) for c in names])
+    return kept.select(kept[key], *[kept[c].alias(c[2:]) for c in names], kept["unfit_columns"])

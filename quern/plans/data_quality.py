@@ -23,12 +23,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _rounded_stats(df: DataFrame, key: str, value: str) -> DataFrame:
+    stats = S.per_key_stats(df, key, value, HOT_SHARE)
+    return stats.withColumn("value_sum", F.round("value_sum", 2)).withColumn("value_avg", F.round("value_avg", 4))
+
+
 def p2_salary_by_dept(spark: SparkSession, folder: str) -> DataFrame:
-    return S.per_key_stats(table(spark, folder, "emp"), "emp_dept_id", "salary", HOT_SHARE)
+    return _rounded_stats(table(spark, folder, "emp"), "emp_dept_id", "salary")
 
 
 def p2_price_by_category(spark: SparkSession, folder: str) -> DataFrame:
-    return S.per_key_stats(table(spark, folder, "products"), "categoryID", "unitPrice", HOT_SHARE)
+    return _rounded_stats(table(spark, folder, "products"), "categoryID", "unitPrice")
 
 
 def p2_emp_dept_lives(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +69,7 @@ RAW_EMPLOYEES = [
     ("lastName", "string", None),
     ("firstName", "string", None),
     ("title", "string", None),
-    ("hireDate", "date", None),
+    ("hireDate", "timestamp", None),
     ("country", "string", None),
     ("notes", "string", None),
     ("reportsTo", "long", None),
@@ -149,6 +154,60 @@ _P3_TREE = """
         SELECT e.id, t.root_id, t.d + 1, t.path || '/' || CAST(e.id AS VARCHAR) FROM e JOIN t ON e.up = t.id
     ) """
 
+_P3_CYCLES = (
+    _P3_TREE
+    + """, endless AS (SELECT id, up FROM e WHERE id NOT IN (SELECT id FROM t)),
+    line AS (SELECT id AS start, up AS met FROM endless UNION SELECT line.start, x.up FROM line JOIN endless x ON line.met = x.id),
+    back AS (SELECT start FROM line GROUP BY start HAVING bool_or(met = start) AND min(met) = start)
+    SELECT id AS employee_id, up AS reports_to, id IN (SELECT start FROM back) AS is_back_edge FROM endless"""
+)
+
+# a field, and a record of fields, as the dialect of the records has them
+_FIELD = """(?:"(?:[^"]|"")*"|[^",]*)"""
+
+
+def _records_sql(name: str, fields: int) -> str:
+    """Records ``r`` with quotes_ok, columns and, where both are right, the fields f1 .. unquoted and trimmed."""
+    record = ",".join(f"({_FIELD})" for _ in range(fields))
+
+    def field(k: int) -> str:
+        raw = f"regexp_extract(x, '^{record}$', {k})"
+        bare = f"""CASE WHEN {raw} LIKE '"%' THEN replace(substr({raw}, 2, length({raw}) - 2), '""', '"') ELSE {raw} END"""
+        return f"nullif(nullif(regexp_replace({bare}, '^\\s+|\\s+$', '', 'g'), ''), 'NULL') AS f{k}"
+
+    return f"""
+        a AS (SELECT line_id, regexp_replace(coalesce(line_text, ''), '\\r$', '') AS x FROM {name}),
+        b AS (SELECT line_id, x, regexp_full_match(x, '{_FIELD}(?:,{_FIELD})*') AS quotes_ok,
+                     length(regexp_replace(regexp_replace(x, '"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) + 1 AS columns FROM a),
+        r AS (SELECT line_id, quotes_ok, columns, {", ".join(field(k) for k in range(1, fields + 1))} FROM b)"""
+
+
+_EMP_VALUES = "(f2 IS NULL OR coalesce(regexp_full_match(f2, '[0-9]+') AND TRY_CAST(f2 AS DOUBLE) <= 120, false)) AND (f4 IS NULL OR regexp_full_match(f4, '[0-9]+([.][0-9]*)?|[.][0-9]+'))"
+_LONG = "CASE WHEN regexp_full_match({0}, '[+-]?[0-9]+') THEN TRY_CAST({0} AS BIGINT) END"
+_DAY = "CASE WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({0} AS TIMESTAMP) END"
+
+
+def _unfit_sql(columns: list[tuple[str, str, str]]) -> str:
+    """Names of the columns whose text isn't of their kind, joined by commas."""
+    parts = ", ".join(f"CASE WHEN {field} IS NOT NULL AND {typed} IS NULL THEN '{name}' END" for name, field, typed in columns)
+    return f"nullif(concat_ws(',', {parts}), '')"
+
+
+_REJECTS_SQL = {
+    name: f"""SELECT '{name}' AS raw_table, line_id, CASE WHEN NOT quotes_ok THEN 'quoting' WHEN columns <> {fields} THEN 'columns' ELSE 'value' END AS reason
+              FROM (WITH {_records_sql(name, fields)} SELECT * FROM r) WHERE NOT quotes_ok OR columns <> {fields} {extra}"""
+    for name, fields, extra in (("raw_emp", 4, f"OR NOT ({_EMP_VALUES})"), ("raw_employees", 8, ""))
+}
+_EMP_SQL = f"""WITH {_records_sql("raw_emp", 4)}
+    SELECT line_id, f1 AS name, TRY_CAST(f2 AS BIGINT) AS age, {_LONG.format("f3")} AS emp_dept_id, TRY_CAST(f4 AS DOUBLE) AS salary,
+           {_unfit_sql([("emp_dept_id", "f3", _LONG.format("f3"))])} AS unfit_columns
+    FROM r WHERE quotes_ok AND columns = 4 AND {_EMP_VALUES}"""
+_EMPLOYEES_SQL = f"""WITH {_records_sql("raw_employees", 8)}
+    SELECT line_id, {_LONG.format("f1")} AS "employeeID", f2 AS "lastName", f3 AS "firstName", f4 AS title, {_DAY.format("f5")} AS "hireDate", f6 AS country, f7 AS notes,
+           {_LONG.format("f8")} AS "reportsTo",
+           {_unfit_sql([("employeeID", "f1", _LONG.format("f1")), ("hireDate", "f5", _DAY.format("f5")), ("reportsTo", "f8", _LONG.format("f8"))])} AS unfit_columns
+    FROM r WHERE quotes_ok AND columns = 8"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_salary_by_dept": p2_salary_by_dept,
@@ -180,6 +239,10 @@ ORACLE_SQL = {
     + """, u AS (SELECT id AS employee_id, id, 0 AS distance FROM t
                  UNION ALL SELECT u.employee_id, e.id, u.distance + 1 FROM u JOIN e ON e.up = u.id)
          SELECT employee_id, id AS descendant_id, distance FROM u WHERE distance > 0""",
+    "p3_cycles": _P3_CYCLES,
+    "p5_found": " UNION ALL ".join(_REJECTS_SQL.values()),
+    "p5_emp_rows": _EMP_SQL,
+    "p5_employees_rows": _EMPLOYEES_SQL,
     "p6_found": _P6,
     "p6_report": f"SELECT ref_field, reason, ym, CAST(count(*) AS BIGINT) AS orphans FROM ({_P6}) GROUP BY ref_field, reason, ym",
 }

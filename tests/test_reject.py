@@ -48,6 +48,35 @@ def test_reasons_and_values(spark):
     assert got[5]["v_name"] is None
 
 
+def test_values_that_no_check_refuses_but_do_not_fit(spark):
+    lines = {
+        "bob,30,12x,5": (None, "emp_dept_id"),
+        "amy,30,9223372036854775807,5": (2**63 - 1, None),
+        "amy,30,-9223372036854775808,5": (-(2**63), None),
+        "amy,30,9223372036854775808,5": (None, "emp_dept_id"),
+        "amy,30,+00000000000000000000012,5": (12, None),
+        "amy,30,-,5": (None, "emp_dept_id"),
+        "amy,30,,5": (None, None),
+    }
+    got = parse(spark, list(lines))
+    assert {x: (got[i]["v_emp_dept_id"], got[i]["unfit_columns"]) for i, x in enumerate(lines)} == lines
+    assert all(r["reject_reason"] is None for r in got.values())
+    both = parse(spark, ["1,A,B,T,2020-13-02,UK,,x"], RAW_EMPLOYEES)[0]
+    assert both["unfit_columns"] == "hireDate,reportsTo" and both["reject_reason"] is None
+
+
+def test_slices_are_bounded_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "SLICE_BYTES", 100)
+    lines = pa.array(["x" * n for n in (10, 60, 40, 500, 0, 30)] + [None])
+    bounds = list(J._slices(lines))
+    assert bounds[0][0] == 0 and bounds[-1][1] == len(lines) and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
+    assert max(sum(len(x or "") for x in lines.slice(a, b - a).to_pylist()) for a, b in bounds) <= 600
+    index = J.Indexed(lines.slice(1, 3))
+    assert (index.end - index.begin).tolist() == [60, 40, 500]
+
+
 def test_null_empty_and_long_records(spark):
     got = parse(spark, [None, '"' + "x," * 50_000 + '",b', "y" * 100_000 + ",b"], PLAIN)
     assert got[0]["reject_reason"] == "columns"
@@ -58,7 +87,7 @@ def test_null_empty_and_long_records(spark):
 
 def test_line_breaks_are_data(spark):
     got = parse(spark, ['1,A,B,T,2020-01-02,UK,"x\ny, z",', "1,A,B,T,2020-13-02,UK,,7"], RAW_EMPLOYEES)
-    assert got[0]["v_notes"] == "x\ny, z" and str(got[0]["v_hireDate"]) == "2020-01-02" and got[0]["v_reportsTo"] is None
+    assert got[0]["v_notes"] == "x\ny, z" and str(got[0]["v_hireDate"]) == "2020-01-02 00:00:00" and got[0]["v_reportsTo"] is None
     assert got[1]["reject_reason"] is None and got[1]["v_hireDate"] is None and got[1]["v_reportsTo"] == 7
 
 
