@@ -15,16 +15,6 @@ def osa(a, b):
     return d[-1][-1]
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
 def words(rnd, n, alphabet="abc", longest=9):
     return ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(longest))) for _ in range(n)]
 
@@ -36,18 +26,40 @@ def test_distances(k):
     assert E.distances(a, b, k).tolist() == [min(osa(x, y), k + 1) for x, y in zip(a, b)]
 
 
-@pytest.mark.parametrize("k, hot", [(1, 50), (2, 50), (2, 3), (3, 2)])
-def test_join_against_brute_force(spark, monkeypatch, k, hot):
-    monkeypatch.setattr(E, "HOT_SEGMENT", hot)
+def strings(rnd, n):
+    out = words(rnd, n, "ab", 8) + words(rnd, n, "abcdefgh", 16)
+    for t in words(rnd, n, "abcdefgh", 14):  # neighbours swapped, also across the borders of segments
+        out.append(t)
+        for at in range(len(t) - 1):
+            out.append(t[:at] + t[at + 1] + t[at] + t[at + 2 :])
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("k, hot", [(1, 40), (2, 40), (2, 3), (2, 0), (3, 2)])
+def test_join_against_brute_force(spark, k, hot):
     rnd = random.Random(k + hot)
-    left = sorted(set(words(rnd, 120, "ab", 8)))
-    right = sorted(set(words(rnd, 60, "ab", 8)))
+    left, right = strings(rnd, 25), strings(rnd, 15)
     index = spark.createDataFrame(list(enumerate(left)), "id long, s string")
-    probes = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(right)], "probe_id long, t string")
-    got = {(r["id"], r["probe_id"]): r["distance"] for r in E.edit_join(index, probes, k).collect()}
-    want = {(i, 1000 + j): osa(s, t) for i, s in enumerate(left) for j, t in enumerate(right) if levenshtein(s, t) <= k}
-    assert want.items() <= got.items()
-    assert all(d <= k and osa(left[i], right[j - 1000]) == d for (i, j), d in got.items())
+    probes = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(right)], "probe_id long, t string")
+    got = {(r["id"], r["probe_id"]): r["distance"] for r in E.edit_join(index, probes, k, hot).collect()}
+    want = {}
+    for i, s in enumerate(left):
+        d = E.distances([s] * len(right), right, k)
+        want |= {(i, 10_000 + j): int(d[j]) for j in range(len(right)) if d[j] <= k}
+    assert got == want
+
+
+def test_join_with_itself_finds_every_pair_once(spark):
+    given = strings(random.Random(9), 20)
+    index = spark.createDataFrame(list(enumerate(given)), "id long, s string")
+    got = {(r["id"], r["probe_id"]) for r in E.edit_join(index, index.selectExpr("id AS probe_id", "s AS t", "false AS longer"), 2, 5).collect()}
+    want = {(i, j) for i, s in enumerate(given) for j, d in enumerate(E.distances([s] * len(given), given, 2)) if d <= 2 and i < j}
+    assert {(min(p), max(p)) for p in got} == want
+
+
+def test_one_long_string_costs_the_others_nothing():
+    many = ["abcdef"] * 5000 + ["x" * 20_000]
+    assert E.distances(many, ["abcdfe"] * 5000 + ["x" * 19_999], 2).tolist() == [1] * 5001
 
 
 def test_empty_tables(spark):

@@ -37,7 +37,7 @@ def test_a_swap_in_each_word_is_found(spark):
 
 
 def test_all_readings_of_many_nicknames():
-    forms = N.read_contact("Ted Dolly Kate Pat Willy Dornebal")["forms"]
+    forms = N.read_contact("Ted Dolly Kitty Pat Willy Dornebal", {"ted": ["edward", "theodore"], "dolly": ["dolores", "dorothy"], "kitty": ["katherine", "ekaterina"], "pat": ["patricia", "patrick"], "willy": ["wilhelm", "william"]})["forms"]
     assert len(forms) == 32 and "theodore dorothy ekaterina patrick william dornebal" in forms
 
 
@@ -70,7 +70,50 @@ def test_pairs_of_records(spark):
 
 
 def test_very_long_and_odd_names():
-    assert N.read_company("x" * 10_000)["parts"] == ["x" * 10_000]
-    assert N.read_company("&&") is None and N.read_contact(".") is None
-    assert N.read_company("Ltd")["core"] == "ltd"
-    assert N.read_company("北京 茶馆")["core"]
+    trades = N.Trades(N.TRADE_WORDS)
+    assert N.read_company("x" * 10_000, trades)["parts"] == ["x" * 10_000]
+    assert N.read_company("&&", trades) is None and N.read_contact(".") is None
+    assert N.read_company("Ltd", trades)["core"] == "ltd"
+    assert N.read_company("北京 茶馆", trades)["core"]
+
+
+def test_persons_with_short_given_names_that_differ_by_a_letter_stay_apart(spark):
+    given = ["John Pelvinor", "Joan Pelvinor", "Jean Pelvinor", "Anna Pelvinor", "Hanna Pelvinor"]
+    assert len(classes(spark, "contact", given)) == 5
+
+
+def test_a_slip_in_a_short_name_is_known_by_its_rarity(spark):
+    syllables = ["dor", "pel", "vin", "kur", "sol", "mar", "tes", "bon"]
+    given = [f"Bruno {a.title()}{b}inor" for a in syllables for b in syllables] + ["Brwuno Dordorinor"]
+    assert ["Bruno Dordorinor", "Brwuno Dordorinor"] in classes(spark, "contact", given)
+
+
+def test_initials_that_fit_nobody_stay_apart(spark):
+    assert len(classes(spark, "contact", ["J. Smith", "Jo. Smith", "Jas. Smith"])) == 3
+    assert classes(spark, "contact", ["J. Smith", "Smith, J."]) == [["J. Smith", "Smith, J."]]
+
+
+def test_trades_that_no_list_has(spark):
+    """Cut off by a stop they are joined; different ones stay apart."""
+    got = classes(spark, "company", ["Varlo Stonegate Zorbing Ltd", "Varlo Stonegate Zorb. Ltd", "Kembus Oldwharf Plumbing Ltd", "Kembus Oldwharf Plumb. Ltd", "Varlo Stonegate Quilting Ltd"])
+    assert got == [["Kembus Oldwharf Plumb. Ltd", "Kembus Oldwharf Plumbing Ltd"], ["Varlo Stonegate Quilting Ltd"], ["Varlo Stonegate Zorb. Ltd", "Varlo Stonegate Zorbing Ltd"]]
+
+
+def test_different_firms_with_one_word_and_other_trades(spark):
+    got = classes(spark, "company", ["Varlo Foods", "Varlo Bakery", "Varlo Stonegate Foods Ltd", "Varlo Stonegate Fisheries Ltd", "Varlo Stonegate Bakery"])
+    assert len(got) == 5
+
+
+def test_trades_are_learnt_from_names_and_not_from_a_firm_with_many_spellings(spark):
+    firms = [f"{a}{b} Stone{c} {t}" for t in ("Zorbing", "Quilting") for a in ("Kel", "Mor", "Vas") for b in ("dan", "bus", "tip", "rom") for c in ("gate", "mill")]
+    many = ["Dulmador Northlode" + "." * i for i in range(60)]
+    df = spark.createDataFrame([(x,) for x in firms + many], "name string")
+    assert N.learn_trades(df) == ["quilting", "zorbing"]
+    assert N.learn_trades(df.where("false")) == []
+    got = classes(spark, "company", [*firms, "Keldan Stonegate Zrbng", "Keldan Stonegate Quilt.", "Keldan Stonegaet Zorbing"])
+    assert ["Keldan Stonegaet Zorbing", "Keldan Stonegate Zorbing", "Keldan Stonegate Zrbng"] in got
+
+
+def test_nicknames_with_a_doubled_letter_follow_from_the_short_forms():
+    table = N.nickname_table("thomas: tom; theodore: ted theo; edward: ed ted; patricia: pat patty; patrick: pat")
+    assert table["tommy"] == table["tom"] == ["thomas"] and table["teddy"] == ["theodore", "edward"] and table["patty"] == ["patricia"]
