@@ -1,24 +1,26 @@
 """Postal addresses that denote the same place.
 
-An address is read into street, kind of street, house number and town; flats and
-floors are set aside. Streets are character n-grams, ordered by their frequencies
-in all addresses; candidates come from an inverted index over the rarest n-grams
-only, as many as the accepted edits can change and one more, whatever the size of
-the table; edit distance of street and town, and the house number verify a pair.
+An address is read into street, kind of street, house number, town and postcode; flats and
+floors are set aside. Street and town are a vector of weighted character n-grams. Candidates come
+from an inverted index over a prefix of each street's n-grams, the rarest ones, one more than the accepted
+edits can change; its keys also have the house number and the place (town or postcode), so that
+their number grows with the addresses of a town and not with those of the world. The cosine of the vectors
+and the house number decide on a candidate; an exact check of edits, kinds of street and postcodes follows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.editjoin import distances
+from quern.llm.editjoin import distances, edit_join
 from quern.llm.names import fold
 from quern.operators.components import connected_components
 from quern.session import cut_lineage, ship_package, shuffled
@@ -29,6 +31,16 @@ TWO_EDITS_FROM = 7
 GRAMS_PER_EDIT = 3
 #: Streets up to this length can lose every 2-gram by one edit, or meet one that can.
 SHORT_STREET = 3
+#: Least cosine of the vectors of one place: two swaps in a street of seven letters leave so much if the town is
+#: the same; other streets of the town mostly have less.
+LEAST_COSINE = 0.33
+#: Bounds of an n-gram's weight, the binary logarithm of how rare it is. What is rarer than one in 64
+#: weighs as much, so that a slip, whose n-grams hardly anybody has, weighs alike in tables of all sizes.
+LEAST_WEIGHT, MOST_WEIGHT = 3.0, 6.0
+#: A repeated n-gram of a text is told apart up to this number; bounds the n-grams there are.
+MOST_REPEATS = 9
+#: Towns from this length are alike up to two edits; a town cut off has so many letters at least.
+LONG_TOWN, CUT_TOWN = 5, 3
 
 # Words for kinds of street, by the kind they mean.
 STREET_KINDS = {
@@ -137,24 +149,38 @@ def read_addresses(df: DataFrame) -> DataFrame:
     return df.select("key", "address", "city", "postalCode").mapInPandas(run, schema)
 
 
-def grams(street: str) -> list[str]:
-    """Character 2-grams of a street with marked ends, repeated ones numbered.
+def grams(text: str) -> list[str]:
+    """Character 2-grams of a street or town with marked ends, repeated ones numbered.
 
-    Very short streets also have themselves and what is left without one letter,
+    Very short texts also have themselves and what is left without one letter,
     by which any two within one edit meet.
     """
-    s = f"^{street}$"
+    s = f"^{text}$"
     seen: Counter[str] = Counter()
     out = []
     for i in range(len(s) - 1):
         g = s[i : i + 2]
-        out.append(f"{g}{seen[g] or ''}")
+        if seen[g] <= MOST_REPEATS:
+            out.append(f"{g}{seen[g] or ''}")
         seen[g] += 1
-    if len(street) <= SHORT_STREET:
-        out += {f"-{street}", *(f"-{street[:i]}{street[i + 1:]}" for i in range(len(street)))}
+    if len(text) <= SHORT_STREET:
+        out += {f"-{text}", *(f"-{text[:i]}{text[i + 1:]}" for i in range(len(text)))}
     return out
 
 
+def prefix(street: str, rarity: Mapping[str, float]) -> list[str]:
+    """The rarest n-grams of a street, of which an accepted one has one in common, too.
+
+    An edit changes GRAMS_PER_EDIT n-grams at most, so one more than the accepted
+    edits can change are enough; very short streets keep all.
+    """
+    found = grams(street)
+    if len(street) <= SHORT_STREET:
+        return found
+    edits = 2 if len(street) >= TWO_EDITS_FROM else 1
+    return sorted(found, key=lambda g: (-rarity.get("s" + g, math.inf), g))[: edits * GRAMS_PER_EDIT + 1]
+
+
 def _kinds_agree(a: str, b: str) -> bool:
     if a == b or not a or not b:
         return True
@@ -163,63 +189,136 @@ def _kinds_agree(a: str, b: str) -> bool:
     return any(a in s and b in s for s in alike)
 
 
+def same_places(a: Mapping[str, Sequence[str]], b: Mapping[str, Sequence[str]]) -> np.ndarray:
+    """The exact check of pairs of readings with one house number, all at once."""
+    kinds = np.array([_kinds_agree(x, y) for x, y in zip(a["kind"], b["kind"])], bool)
+    halves = [[t.split("/") if t else ("", "") for t in side["town"]] for side in (a, b)]
+    (ta, fa), (tb, fb) = (([x[0] for x in h], [x[1] for x in h]) for h in halves)
+    street, code = distances(a["street"], b["street"], 2), distances(a["code"], b["code"], 2)
+    town = np.minimum(distances(ta, tb, 2), distances(fa, fb, 2))
+    size = lambda texts: np.fromiter(map(len, texts), np.int64, len(texts))
+    shorter, short_town = np.minimum(size(a["street"]), size(b["street"])), np.minimum(size(ta), size(tb))
+    near_street = (street <= 1) | ((street == 2) & (shorter >= TWO_EDITS_FROM))
+    has_codes, has_towns = (size(a["code"]) > 0) & (size(b["code"]) > 0), (size(ta) > 0) & (size(tb) > 0)
+    one_code, other_code = has_codes & (code <= 1), has_codes & (code > 1)
+    same_town = (town == 0) & ((street < 2) | ~other_code)
+    begins = np.array([x.startswith(y) or y.startswith(x) for x, y in zip(ta, tb)], bool) & (short_town >= CUT_TOWN)
+    near_town = (((town <= 2) & (short_town >= LONG_TOWN)) | begins) & ~other_code & (street + np.minimum(town, 1) <= 2)
+    # no town on one side: the postcode decides
+    exact_code = np.array([x == y for x, y in zip(a["code"], b["code"])], bool)
+    by_code = one_code & (street < 2 + exact_code)
+    return kinds & near_street & np.where(has_towns, np.where(town == 0, same_town, near_town), by_code)
+
+
 def same_place(a: tuple, b: tuple) -> bool:
     """The exact check of two readings with the same house number."""
-    (sa, ka, _, ta, ca), (sb, kb, _, tb, cb) = a, b
-    if not _kinds_agree(ka, kb):
-        return False
-    (ta, fa), (tb, fb) = (t.split("/") if t else ("", "") for t in (ta, tb))
-    street, town, whole, code = (int(x) for x in distances([sa, ta, fa, ca], [sb, tb, fb, cb], 2))
-    town = min(town, whole)
-    if street > 2 or (street == 2 and min(len(sa), len(sb)) < TWO_EDITS_FROM):
-        return False
-    codes = None if not ca or not cb else code <= 1
-    if ta and tb:
-        if town == 0:
-            return street < 2 or codes is not False
-        near = (town <= 2 and min(len(ta), len(tb)) >= 5) or ta.startswith(tb) or tb.startswith(ta)
-        return near and (codes is not False) and street + min(town, 1) <= 2
-    # no town on one side: the postcode decides
-    return codes is True and street < 2 + (ca == cb)
+    fields = ("street", "kind", "number", "town", "code")
+    return bool(same_places(*({f: [v] for f, v in zip(fields, x)} for x in (a, b)))[0])
+
+
+def cosines(a: Mapping[str, Sequence[str]], b: Mapping[str, Sequence[str]], rarity: Mapping[str, float]) -> np.ndarray:
+    """Cosines of the weighted n-grams of street and town; of street and postcode if either has no town."""
+    cache: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
+
+    def vector(space: str, text: str) -> tuple[dict[str, float], float]:
+        got = cache.get((space, text))
+        if got is None:
+            own = {space + g: min(max(rarity.get(space + g, MOST_WEIGHT), LEAST_WEIGHT), MOST_WEIGHT) ** 2 for g in grams(text)}
+            got = cache[space, text] = (own, sum(own.values()))
+        return got
+
+    out = np.zeros(len(a["street"]))
+    for row, (sa, sb, ta, tb, ca, cb) in enumerate(zip(a["street"], b["street"], a["town"], b["town"], a["code"], b["code"])):
+        place = (vector("t", ta.split("/")[0]), vector("t", tb.split("/")[0])) if ta and tb else (vector("c", ca), vector("c", cb))
+        parts = [(vector("s", sa), vector("s", sb)), place]
+        shared = sum(w for (x, _), (y, _) in parts for g, w in x.items() if g in y)
+        out[row] = shared / math.sqrt(sum(x[1] for x, _ in parts) * sum(y[1] for _, y in parts))
+    return out
 
 
-def street_pairs(streets: DataFrame) -> DataFrame:
-    """``number``, ``street``, ``street_b`` of all different streets with one house number that ``same_place`` holds alike.
+def gram_rarity(nodes: DataFrame) -> dict[str, float]:
+    """Binary logarithm of one over the share of all readings that have an n-gram, for streets (s..) and towns (t..).
 
-    ``streets`` has distinct ``street`` and ``number``. An edit changes at most
-    GRAMS_PER_EDIT of a street's n-grams, so the rarest of them, one more than the
-    accepted edits can change, have one in common (prefix filter); no pair is lost.
+    All readings are counted. N-grams are two of the letters a to z and the marks of both ends, with a number up to
+    MOST_REPEATS, or texts of up to three of these: so their number is bounded whatever the table.
     """
-    spelled = cut_lineage(_with_grams(streets.select("street").distinct()))
-    counts = spelled.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = F.row_number().over(Window.partitionBy("street").orderBy("n", "gram"))
-    edits = F.when(F.length("street") >= TWO_EDITS_FROM, 2).otherwise(1)
-    ranked = spelled.join(shuffled(counts), "gram").withColumn("rank", rarest)
-    prefix = ranked.where((F.col("rank") <= edits * GRAMS_PER_EDIT + 1) | (F.length("street") <= SHORT_STREET)).select("street", "gram")
-    # candidates share a prefix n-gram and the house number
-    entries = cut_lineage(prefix.join(shuffled(streets), "street").select("gram", "number", "street"))
-    other = entries.withColumnRenamed("street", "street_b")
-    near = F.abs(F.length("street") - F.length("street_b")) <= 2
-    met = entries.join(shuffled(other), ["gram", "number"]).where((F.col("street") < F.col("street_b")) & near).select("number", "street", "street_b").distinct()
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            d = distances(p["street"].tolist(), p["street_b"].tolist(), 2)
-            shorter = np.minimum(p["street"].str.len(), p["street_b"].str.len()).to_numpy(int)
-            yield p[(d <= 1) | ((d == 2) & (shorter >= TWO_EDITS_FROM))]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter[str] = Counter()
+            for street, town in zip(b["street"], b["town"]):
+                seen.update({"s" + g for g in grams(street)})
+                if town:
+                    seen.update({"t" + g for g in grams(town.split("/")[0])})
+            seen["all"] = len(b)
+            yield pd.DataFrame({"gram": list(seen), "n": list(seen.values())})
 
-    return met.mapInPandas(verify, "number string, street string, street_b string")
+    counts = {r["gram"]: r["n"] for r in nodes.select("street", "town").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    total = counts.pop("all", 0)
+    return {g: math.log2(total / n) for g, n in counts.items()}
 
 
-def link_addresses(addresses: DataFrame) -> DataFrame:
+def near_towns(towns: DataFrame, of: DataFrame) -> DataFrame:
+    """``town``, ``near``: other towns that a town in ``of`` may stand for, by two edits or as one cut off.
+
+    Both have distinct ``town`` (short and whole form, see ``read_town``); ``near`` is a short form.
+    """
+    short, whole = F.split("town", "/")[0], F.split("town", "/")[1]
+    forms = lambda df: df.select("town", F.explode(F.array_distinct(F.array(short, whole))).alias("form"))
+    all_forms, own_forms = forms(towns), forms(of)
+    index = all_forms.select("form").distinct().select(F.xxhash64("form").alias("id"), F.col("form").alias("s"))
+    probes = own_forms.select("form").distinct().select((F.xxhash64("form") + F.lit(1)).alias("probe_id"), F.col("form").alias("t"))
+    met = edit_join(index, probes, 2).join(shuffled(index), "id").join(shuffled(probes), "probe_id").select(F.col("t").alias("form"), F.col("s").alias("other"))
+    edited = own_forms.join(shuffled(met), "form").join(shuffled(all_forms.select(F.col("form").alias("other"), F.col("town").alias("other_town"))), "other")
+    begins = lambda df: df.select("town", F.explode(F.expr(f"transform(sequence({CUT_TOWN}, greatest(length(split(town, '/')[0]), {CUT_TOWN})), n -> left(split(town, '/')[0], n))")).alias("begin"))
+    cut = of.select("town", short.alias("begin")).join(shuffled(begins(towns).withColumnRenamed("town", "other_town")), "begin")
+    longer = begins(of).join(shuffled(towns.select(F.col("town").alias("other_town"), short.alias("begin"))), "begin")
+    both = edited.select("town", "other_town").unionByName(cut.select("town", "other_town")).unionByName(longer.select("town", "other_town"))
+    return both.where(F.col("town") != F.col("other_town")).select("town", F.split("other_town", "/")[0].alias("near")).where(F.col("near") != short).distinct()
+
+
+def candidates(nodes: DataFrame, rarity: Mapping[str, float]) -> DataFrame:
+    """``id``, ``id_b`` (the larger) of readings with one house number that can be at one place.
+
+    They share an n-gram of the street's prefix and a place: a form of the town, the
+    postcode as it is or without one of its letters, or, for readings without a postcode, a
+    town that theirs may stand for. ``same_places`` accepts no pair without.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            places = []
+            for town, code, near in zip(b["town"], b["code"], b["near"]):
+                if near is not None:
+                    places.append([f"t{near}"])
+                    continue
+                own = [f"t{x}" for x in dict.fromkeys(town.split("/"))] if town else []
+                if code:
+                    own += [f"c{x}" for x in dict.fromkeys([code, *(code[:i] + code[i + 1 :] for i in range(len(code)))])]
+                places.append(own)
+            yield pd.DataFrame({"id": b["id"], "number": b["number"], "size": b["street"].str.len(), "prefix": [prefix(x, rarity) for x in b["street"]], "places": places})
+
+    own = nodes.select("id", "street", "number", "town", "code", F.lit(None).cast("string").alias("near"))
+    codeless = nodes.where((F.col("code") == "") & (F.col("town") != ""))
+    towns = cut_lineage(nodes.where(F.col("town") != "").select("town").distinct())
+    more = codeless.join(shuffled(near_towns(towns, codeless.select("town").distinct())), "town").select("id", "street", "number", "town", "code", "near")
+    spelled = own.unionByName(more).mapInPandas(run, "id long, number string, size long, prefix array<string>, places array<string>")
+    keys = spelled.withColumn("place", F.explode("places")).withColumn("gram", F.explode("prefix")).select(F.xxhash64("number", "place", "gram").alias("key"), "id", "size")
+    keys = cut_lineage(keys)
+    other = keys.select("key", F.col("id").alias("id_b"), F.col("size").alias("size_b"))
+    return keys.join(shuffled(other), "key").where((F.col("id") < F.col("id_b")) & (F.abs(F.col("size") - F.col("size_b")) <= 2)).select("id", "id_b").distinct()
+
+
+def link_addresses(addresses: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """``key``, ``class_id``, ``links`` of every record whose address can be read.
 
     ``addresses`` has ``key``, ``address``, ``city`` and ``postalCode``. Records of
-    one class denote the same place: same house number with its letter, streets within
+    one class denote the same place: same house number with its letter, vectors of street and town
+    with a cosine of at least ``least_cosine``, and then streets within
     two edits, kinds of street that don't contradict, towns alike or, where one is
     missing, postcodes alike. Null addresses, post-office boxes and addresses
     without a house number are left out. Equal readings are one node, however many
-    records have them; repeated rows count once.
+    records have them; repeated rows count once. An empty table gives no rows.
     """
     read = cut_lineage(read_addresses(addresses.select("key", "address", "city", "postalCode").distinct()))
     fields = ["street", "kind", "number", "town", "code"]
@@ -230,40 +329,26 @@ def link_addresses(addresses: DataFrame) -> DataFrame:
         read.join(shuffled(usual), "code", "left").withColumn("town", F.when(F.col("town") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("town"))).select("key", *fields)
     )
     nodes = cut_lineage(read.select(*fields).distinct().withColumn("id", F.xxhash64(*fields)))
-    streets = nodes.select("street", "number").distinct()
-    same = streets.select("street", "number", F.col("street").alias("street_b"))
-    pairs = cut_lineage(street_pairs(streets).unionByName(same))
-    renamed = nodes.select(*[F.col(c).alias(f"{c}_b") for c in (*fields, "id")])
-    candidates = (
-        nodes.join(shuffled(pairs), ["street", "number"])
-        .join(shuffled(renamed.withColumnRenamed("number_b", "number")), ["street_b", "number"])
-        .where(F.col("id") != F.col("id_b"))
-        .withColumn("number_b", F.col("number"))
-    )
+    rarity = gram_rarity(nodes)
+    named = [F.col(c).alias(f"{c}_b") for c in (*fields, "id")]
+    met = candidates(nodes, rarity).join(shuffled(nodes), "id").join(shuffled(nodes.select(*named)), "id_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            a = list(zip(*[p[c] for c in fields]))
-            b = list(zip(*[p[f"{c}_b"] for c in fields]))
-            ok = np.array([same_place(x, y) for x, y in zip(a, b)], bool)
-            yield pd.DataFrame({"src": p["id"], "dst": p["id_b"]})[ok]
-
-    links = cut_lineage(candidates.mapInPandas(verify, "src long, dst long").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+            if not len(p):
+                continue
+            a, b = ({f: p[f + end].tolist() for f in fields} for end in ("", "_b"))
+            alike = cosines(a, b, rarity) >= least_cosine
+            alike[alike] = same_places(*({f: [v for v, ok in zip(side[f], alike) if ok] for f in fields} for side in (a, b)))
+            yield pd.DataFrame({"src": p["id"], "dst": p["id_b"]})[alike]
+
+    links = cut_lineage(met.mapInPandas(verify, "src long, dst long"))
     classes = connected_components(links).withColumnRenamed("node", "id")
     degree = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    labelled = nodes.join(shuffled(classes), "id", "left").join(shuffled(degree), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    labelled = nodes.select("id").join(shuffled(classes), "id", "left").join(shuffled(degree), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     return read.withColumn("id", F.xxhash64(*fields)).select("key", "id").join(shuffled(labelled), "id").select("key", "class_id", "links").distinct()
 
 
-def _with_grams(streets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lists = [grams(s) for s in b["street"]]
-            yield pd.DataFrame({"street": np.repeat(b["street"].to_numpy(object), [len(x) for x in lists]), "gram": [g for x in lists for g in x]})
-
-    return streets.mapInPandas(run, "street string, gram string")
-
-
 def place_pairs(members: DataFrame) -> DataFrame:
     """All pairs of different records of a class, the smaller key first."""
     a = members.select("class_id", F.col("key").alias("key_a"))

@@ -82,6 +82,31 @@ def test_candidates_lose_no_accepted_pair_at_any_size(spark):
         assert len(want) > 60 and not lost
 
 
+def test_candidates_grow_with_a_town_and_not_with_the_number_of_towns(spark):
+    from quern.session import cut_lineage
+
+    found = {}
+    for towns in (50, 200):
+        rows = [(f"c:{i}{x}", f"1 High{x} Street", "Tor" + "".join("abcdefghij"[int(d)] * 2 for d in f"{i:03}"), f"{10000 + 37 * i}") for i in range(towns) for x in ("", "x")]
+        df = spark.createDataFrame(rows, "key string, address string, city string, postalCode string")
+        nodes = cut_lineage(A.read_addresses(df).drop("key").distinct().selectExpr("*", "xxhash64(street, number, town, code) AS id"))
+        found[towns] = A.candidates(nodes, A.gram_rarity(nodes)).count()
+    assert found[50] >= 50 and found[200] <= 5 * found[50]  # some postcodes are a letter apart
+
+
+def test_a_town_cut_off_or_misspelt_without_a_postcode(spark):
+    rows = [("12 Dornebal Street", "Pelvinor", "01234"), ("12 Dornebal Street", "Pelv.", None), ("12 Dornebal Street", "Plevinor", None), ("12 Dornebal Street", "Kurtamon", None)]
+    assert classes(spark, rows) == [[0, 1, 2], [3]]
+
+
+def test_cosines_do_not_depend_on_the_size_of_the_table():
+    a, b = {"street": ["dornebal"], "town": ["pelv/pelv"], "code": [""]}, {"street": ["dorxebal"], "town": ["pelv/pelv"], "code": [""]}
+    shares = {**{"s" + g: 3.0 for g in A.grams("dornebal")}, **{"t" + g: 2.0 for g in A.grams("pelv")}}
+    values = [A.cosines(a, b, {**shares, "srx": n, "sxe": n})[0] for n in (7.0, 30.0)]
+    assert values[0] == values[1] > A.LEAST_COSINE
+    assert A.cosines(a, a, shares)[0] == 1.0 or abs(A.cosines(a, a, shares)[0] - 1) < 1e-9
+
+
 def test_empty(spark):
     assert classes(spark, []) == []
 
