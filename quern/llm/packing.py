@@ -1,15 +1,17 @@
 """Items of varying size packed into containers of permitted capacities.
 
 Variable-capacity best fit: items go, largest first, into the open container
-with the least room that holds them; otherwise the largest capacity is opened, or
-the least that holds all that remains, and in the end every container is downsized to the least capacity that holds its
+with the least room that holds them. Where none does, a container is opened with the permitted
+capacity that is expected to waste least for what it will hold, which is foreseen by filling it with the
+items that are left. In the end every container is downsized to the least capacity that holds its
 contents. Items are dealt out at random to shards of bounded size, which are packed
 each in one task; a shard leaves at most a few containers that aren't full.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,48 +22,85 @@ from pyspark.sql import functions as F
 from quern.session import partitions_for, ship_package
 
 
-def best_fit(sizes: np.ndarray, capacities: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Container and offset of every item, capacity of every container.
+#: Items that are foreseen for a container to be opened; beyond that, small ones are taken to fill it.
+FORESEEN = 64
 
-    Sizes are at most the largest capacity. A new container is opened with the
-    largest capacity as long as what remains fills it, else with the least that
-    holds what remains; other capacities come from downsizing at the end. Items of size 0 join the last container.
-    """
-    caps = sorted(int(c) for c in capacities)
-    order = np.argsort(-sizes, kind="stable")
-    remaining = int(sizes.sum())
-    room_of: list[int] = []
+
+def foreseen_waste(room: int, ascending: list[int], sums: list[int], left: int, fitted: Sequence[int], used: int) -> tuple[int, int]:
+    """Unused room and contents of a container of ``used + room``, filled with the largest of the ``left`` least items that fit, and downsized."""
+    for _ in range(FORESEEN):
+        if not left or room < ascending[0]:
+            break
+        if sums[left - 1] <= room:  # all that is left fits
+            used, room = used + sums[left - 1], room - sums[left - 1]
+            break
+        left = bisect_right(ascending, room, 0, left) - 1
+        used, room = used + ascending[left], room - ascending[left]
+    else:
+        used, room = used + room, 0
+    return fitted[bisect_left(fitted, used)] - used, used
+
+
+def _pack(sizes: list[int], order: list[int], openable: Sequence[int], fitted: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+    """Container and offset of every item, and what each container holds. ``openable`` are the capacities to open, ``fitted`` those to downsize to."""
+    ascending = [sizes[i] for i in reversed(order)]
+    sums = list(accumulate(ascending))
     used: list[int] = []
-    opened: list[int] = []
-    by_room: list[list[int]] = [[] for _ in range(caps[-1] + 1)]
-    present = 0  # bit r is set when some container has room r
-    box = np.zeros(len(sizes), np.int64)
-    offset = np.zeros(len(sizes), np.int64)
-    for i in order.tolist():
-        size = int(sizes[i])
-        above = present >> size
-        if above:
-            room = size + ((above & -above).bit_length() - 1)
+    rooms: list[int] = []  # rooms of open containers, each once, in order
+    by_room: dict[int, list[int]] = {}
+    box, offset = [0] * len(sizes), [0] * len(sizes)
+    left = len(order)
+    for i in order:
+        size = sizes[i]
+        left -= 1
+        at = bisect_left(rooms, size)
+        if at < len(rooms):
+            room = rooms[at]
             b = by_room[room].pop()
             if not by_room[room]:
-                present &= ~(1 << room)
+                del by_room[room], rooms[at]
         else:
-            # open: the cheapest capacity for what is still to come
-            cap = caps[-1] if remaining >= caps[-1] else caps[bisect_left(caps, max(size, remaining))]
-            b = len(room_of)
-            room_of.append(cap)
+            room = openable[-1]
+            if len(openable) > 1:
+                best = None
+                for cap in openable[bisect_left(openable, size) :]:
+                    waste, held = foreseen_waste(cap - size, ascending, sums, left, fitted, size)
+                    # least waste for each unit held; of equal ones the largest
+                    if best is None or waste * best[1] <= best[0] * held:
+                        best, room = (waste, max(held, 1)), cap
+            b = len(used)
             used.append(0)
-            opened.append(cap)
-            room = cap
         box[i], offset[i] = b, used[b]
         used[b] += size
         room -= size
-        room_of[b] = room
-        by_room[room].append(b)
-        present |= 1 << room
-        remaining -= size
-    fitted = np.array([caps[bisect_left(caps, max(u, 1))] for u in used], np.int64)
-    return box, offset, fitted
+        if room in by_room:
+            by_room[room].append(b)
+        else:
+            by_room[room] = [b]
+            insort(rooms, room)
+    return box, offset, used
+
+
+def best_fit(sizes: np.ndarray, capacities: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Container and offset of every item, capacity of every container.
+
+    Sizes are at most the largest capacity. Capacities are chosen jointly, at each
+    opening by the least foreseen waste; the same items are also packed with each
+    capacity alone that holds them all, and the packing with the least total capacity is
+    taken (of equal ones that with the fewest containers), so that several capacities never waste more than one of them. Items of size 0 join a container that is there.
+    """
+    caps = sorted({int(c) for c in capacities})
+    order = np.argsort(-sizes, kind="stable").tolist()
+    items = sizes.tolist()
+    most = max(items, default=0)
+    best = None
+    for openable in [caps, *([c] for c in caps if c >= most and len(caps) > 1)]:
+        box, offset, used = _pack(items, order, openable, caps)
+        fitted = [caps[bisect_left(caps, max(u, 1))] for u in used]
+        cost = (sum(fitted), len(fitted))
+        if best is None or cost < best[0]:
+            best = (cost, box, offset, fitted)
+    return tuple(np.array(x, np.int64) for x in best[1:])
 
 
 def pieces(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
