@@ -53,7 +53,7 @@ def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int
 
     The percentile p of n values is the order statistic at position p * (n - 1),
     with linear interpolation between neighbours, so that it is exact for an exact
-    summary. Groups of one value have it as every percentile.
+    summary. Groups of one value have it as every percentile. Values are not rounded.
     """
     if not shares or any(not 0 <= p <= 1 for p in shares):
         raise ValueError("shares must be between 0 and 1")
@@ -89,4 +89,4 @@ def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int
     at_high = F.max(F.when((F.col("first_pos") <= high) & (high <= F.col("last_pos")), F.col("val")))
     ends = hits.groupBy("grp", "percentile", "group_rows").agg(at_low.alias("lo"), at_high.alias("hi"))
     share = position - F.floor(position)
-    return ends.select("grp", "percentile", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * share, 6).alias("value"), "group_rows")
+    return ends.select("grp", "percentile", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"), "group_rows")

@@ -57,3 +57,9 @@ def test_ties_nan_single_and_empty(spark):
     got = {(r["grp"], r["percentile"]): (r["value"], r["group_rows"]) for r in P.percentiles(P.summarise(frame(spark, rows), "g", "v"), [0.25, 0.5]).collect()}
     assert got == {("a", 0.25): (1.0, 5), ("a", 0.5): (1.0, 5), ("b", 0.25): (2.0, 1), ("b", 0.5): (2.0, 1)}
     assert P.percentiles(P.summarise(frame(spark, []), "g", "v"), [0.5]).collect() == []
+
+
+def test_small_values_keep_their_bound(spark):
+    df = frame(spark, [("a", 1e-7, 0, "x"), ("a", 3e-7, 0, "x")])
+    got = {r["percentile"]: r["value"] for r in P.percentiles(P.summarise(df, "g", "v", rel_error=0.01), [0.0, 1.0]).collect()}
+    assert abs(got[0.0] - 1e-7) <= 1e-9 and abs(got[1.0] - 3e-7) <= 3e-9
