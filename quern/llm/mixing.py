@@ -2,7 +2,8 @@
 
 Every record is repeated a Poisson number of times, drawn by inverting the
 distribution at a uniform number hashed from its key and a seed, with the mean
-repetition rate that its source needs.
+repetition rate that its source needs. That number is hashed once; as more copies come with a higher rate
+whatever the numbers are, the rate of a source is then set so that its copies have the wanted size.
 """
 
 from __future__ import annotations
@@ -11,38 +12,67 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: More sources than this are refused, as rates are worked out in the driver.
-MAX_SOURCES = 100_000
-#: Targets with more repeats than this are refused, as each is a column of the plan.
-MAX_REPEATS = 64
+#: More sources than this are refused, as rates are worked out in the driver from SLOTS sums each.
+MAX_SOURCES = 2_000
+#: Slots of the uniform numbers for which the sizes of a source are summed.
+SLOTS = 256
+#: Targets with more repeats than this are refused, as each is a step of a distribution.
+MAX_REPEATS = 1_000
 
 
-def capped_poisson(rate: float, cap: int) -> list[float]:
-    """Distribution function of min(Poisson, cap) with mean ``rate``, at 0 .. cap - 1."""
-    if rate >= cap:
+def poisson_steps(lam: float, cap: int) -> list[float]:
+    """Distribution function of a Poisson number with mean ``lam`` at 0 .. cap - 1: a record of uniform number u has as many copies as steps are at most u."""
+    if math.isinf(lam):
         return [0.0] * cap
-    if rate <= 0:
+    if lam <= 0:
         return [1.0] * cap
-
-    def below(lam: float) -> list[float]:
-        term, total, out = math.exp(-lam), 0.0, []
-        for k in range(cap):
-            total += term
-            out.append(min(total, 1.0))
-            term *= lam / (k + 1)
-        return out
-
-    low, high = 0.0, 4.0 * cap + 60.0
-    for _ in range(200):
+    log_term, total, out = -lam, 0.0, []  # logarithms, as e^-lam is 0 for a computer from 746 on
+    for k in range(cap):
+        total += math.exp(log_term)
+        out.append(min(total, 1.0))
+        log_term += math.log(lam / (k + 1))
+    return out
+
+
+def _solve(reached, wanted: float, high: float) -> float:
+    """The least ``lam`` up to ``high`` at which the rising function ``reached`` has ``wanted``."""
+    low = 0.0
+    for _ in range(60):
         lam = (low + high) / 2
-        # the mean of a count is the sum over k of P(count > k)
-        if sum(1 - c for c in below(lam)) < rate:
+        if reached(lam) < wanted:
             low = lam
         else:
             high = lam
-    return below((low + high) / 2)
+    return (low + high) / 2
+
+
+def capped_poisson(rate: float, cap: int) -> list[float]:
+    """Distribution function of min(Poisson, cap) with mean ``rate``, at 0 .. cap - 1."""
+    if rate >= cap:
+        return poisson_steps(math.inf, cap)
+    # the mean of a count is the sum over k of P(count > k)
+    return poisson_steps(_solve(lambda lam: sum(1 - c for c in poisson_steps(lam, cap)), rate, 4.0 * cap + 60.0) if rate > 0 else 0.0, cap)
+
+
+def calibrated(slots: dict[int, int], rate: float, cap: int) -> list[float]:
+    """Steps at which copies of a source have the size that ``rate`` times all of it is.
+
+    ``slots`` has the size of the records by SLOTS-th of their uniform numbers, within which
+    size is taken to be spread evenly. The expected steps are those of ``capped_poisson``.
+    """
+    if rate >= cap or rate <= 0:
+        return capped_poisson(rate, cap)
+    above = [0.0] * (SLOTS + 1)
+    for s in range(SLOTS - 1, -1, -1):
+        above[s] = above[s + 1] + slots.get(s, 0)
+
+    def size_above(u: float) -> float:
+        at = min(int(u * SLOTS), SLOTS - 1)
+        return above[at + 1] + (above[at] - above[at + 1]) * (at + 1 - u * SLOTS)
+
+    lam = _solve(lambda x: sum(size_above(c) for c in poisson_steps(x, cap)), rate * above[0], 4.0 * cap + 60.0)
+    return poisson_steps(lam, cap)
 
 
 def mix_rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
@@ -62,15 +92,15 @@ def mix_rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], tota
     return {s: min(float(m), w / weight * total / sizes[s]) for s, (w, m) in live.items()}
 
 
-def draw(counted: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", seed: int = 0, seeds: int = 32, total: float | None = None) -> DataFrame:
+def draw(counted: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", seed: int = 0, total: float | None = None) -> DataFrame:
     """``key``, ``source``, ``copy_no`` (from 1), ``size``, ``mix_order`` of the drawn records.
 
     ``targets`` has ``source``, ``target_weight`` and ``max_repeats``; sources that
     it doesn't name, a null source and null weights draw nothing. No record comes
     more often than its source's ``max_repeats``, which may be MAX_REPEATS at most:
-    more raises an error. Of ``seeds`` hash seeds, each
-    source takes the one that comes closest to its share, found in one pass over
-    all records. The rows are in global random order: by ``mix_order`` within
+    more raises an error. Each record has one uniform number, hashed from its key and ``seed``; the
+    sizes of each source are summed by slots of it, which says what any rate would draw, and
+    the rate that draws the wanted share is taken. The rows are in global random order: by ``mix_order`` within
     partitions that are ranges of it. Same input, same result; repeated keys are
     drawn alike. Empty tables give no rows.
     """
@@ -80,36 +110,19 @@ def draw(counted: DataFrame, targets: DataFrame, key: str = "doc_id", source: st
     if any((r["max_repeats"] or 0) > MAX_REPEATS for r in rows):
         raise ValueError(f"max_repeats above {MAX_REPEATS}")
     wanted = {r["source"]: (r["target_weight"] or 0.0, r["max_repeats"] or 0) for r in rows}
-    sizes = {r[0]: int(r[1] or 0) for r in counted.where(F.col(source).isin(list(wanted))).groupBy(source).agg(F.sum(size)).collect()} if wanted else {}
-    rates = mix_rates(sizes, wanted, total)
     spark = counted.sparkSession
-    most = max([wanted[s][1] for s in rates], default=1)
-    schema = T.StructType([T.StructField("__source", T.StringType()), T.StructField("__aim", T.DoubleType())] + [T.StructField(f"__c{k}", T.DoubleType()) for k in range(most)])
-    steps = []
-    for s, rate in sorted(rates.items()):
-        cdf = capped_poisson(rate, wanted[s][1])
-        steps.append((s, rate * sizes[s], *cdf, *[1.0] * (most - len(cdf))))
-    plan = spark.createDataFrame(steps, schema)  # a row per source: its bound was checked above
-    known = counted.join(F.broadcast(plan), F.col(source) == F.col("__source"))
-
-    def count(number):
-        bits = F.shiftrightunsigned(F.xxhash64(F.col(key), number), 11).cast("double") / F.lit(float(2**53))
-        hits = F.lit(0)
-        for k in range(most):
-            hits = hits + (bits >= F.col(f"__c{k}")).cast("int")
-        return hits
-
-    # every seed is tried on every record: a row per seed, summed before anything is exchanged
-    tried = known.select("__source", "__aim", key, size, *[f"__c{k}" for k in range(most)], F.explode(F.sequence(F.lit(seed), F.lit(seed + seeds - 1))).alias("__try"))
-    reached = tried.groupBy("__source", "__try").agg(F.first("__aim").alias("aim"), F.sum(count(F.col("__try")) * F.col(size)).alias("got")).collect()
-    closest: dict[str, tuple[float, int]] = {}
-    for r in reached:
-        miss = (abs((r["got"] or 0) - r["aim"]), r["__try"])
-        closest[r["__source"]] = min(miss, closest.get(r["__source"], miss))
-    chosen = [(s, at) for s, (_, at) in closest.items()]
-    best = spark.createDataFrame(chosen, "__s string, __seed int")
-    drawn = known.join(F.broadcast(best), F.col("__source") == F.col("__s")).withColumn("__n", count(F.col("__seed")))
-    copies = drawn.where(F.col("__n") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    uniform = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11).cast("double") / F.lit(float(2**53))
+    slots: dict[str, dict[int, int]] = {s: {} for s in wanted}
+    if wanted:
+        by_slot = counted.where(F.col(source).isin(list(wanted))).groupBy(source, F.floor(uniform * SLOTS).alias("__slot")).agg(F.sum(size).alias("__size"))
+        for r in by_slot.collect():
+            slots[r[0]][r["__slot"]] = int(r["__size"] or 0)
+    rates = mix_rates({s: sum(x.values()) for s, x in slots.items()}, wanted, total)
+    steps = [(s, calibrated(slots[s], rate, wanted[s][1])) for s, rate in sorted(rates.items())]
+    plan = spark.createDataFrame(steps, "__source string, __steps array<double>")  # a row per source: its bound was checked above
+    known = counted.join(F.broadcast(plan), F.col(source) == F.col("__source")).withColumn("__u", uniform)
+    copies = known.withColumn("__n", F.size(F.filter("__steps", lambda c: c <= F.col("__u")))).where(F.col("__n") > 0)
+    copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     out = copies.select(key, source, "copy_no", size, F.xxhash64(F.col(key), F.col("copy_no"), F.lit(seed - 1)).alias("mix_order"))
     return out.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order", key, "copy_no")
 

@@ -6,7 +6,7 @@ from quern.llm import mixing as M
 
 
 def test_capped_poisson_has_the_wanted_mean():
-    for cap in (1, 2, 8):
+    for cap in (1, 2, 8, 1000):
         for rate in (0.0, 0.3, 0.9 * cap, float(cap)):
             cdf = M.capped_poisson(rate, cap)
             assert len(cdf) == cap and cdf == sorted(cdf)
@@ -46,11 +46,30 @@ def test_shares_and_repeats(spark):
 
 def test_more_repeats_than_can_be_drawn_are_refused(spark):
     docs, _ = inputs(spark)
-    targets = spark.createDataFrame([("a", 0.4, 100), ("b", 0.6, 1)], "source string, target_weight double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.4, M.MAX_REPEATS + 1), ("b", 0.6, 1)], "source string, target_weight double, max_repeats int")
     with pytest.raises(ValueError):
         M.draw(docs, targets)
 
 
+def test_many_repeats_are_drawn_in_full(spark):
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(40)] + [(1000 + i, "b", 10) for i in range(6000)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 200), ("b", 0.5, 1)], "source string, target_weight double, max_repeats int")
+    drawn = M.draw(docs, targets)
+    counts = Counter(r["doc_id"] for r in drawn.where("source = 'a'").collect())
+    assert sum(counts.values()) == pytest.approx(6000, abs=120) and max(counts.values()) <= 200 and min(counts.values()) > 100
+
+
+def test_the_rate_follows_the_numbers_that_were_hashed():
+    """Copies at the steps have the wanted size, whatever the sizes in the slots."""
+    slots = {s: (50 if s % 3 else 900) for s in range(M.SLOTS)}
+    whole = sum(slots.values())
+    for rate, cap in ((0.2, 1), (0.7, 2), (2.5, 8)):
+        steps = M.calibrated(slots, rate, cap)
+        got = sum(n * sum(max(0.0, min(1.0, (s + 1) - c * M.SLOTS)) for c in steps) for s, n in slots.items())
+        assert got == pytest.approx(rate * whole, rel=1e-6)
+    assert M.calibrated(slots, 3.0, 3) == [0.0] * 3 and M.calibrated({}, 0.0, 2) == [1.0] * 2
+
+
 def test_more_pack_limits_than_can_be_read_are_refused(spark, tmp_path):
     from quern.llm import plans
 
