@@ -9,6 +9,10 @@ every chunk known, a second sweep over all chunks at once writes the unit starts
 A first sweep chooses the classes: it marks which full stops end nothing (abbreviations,
 ordinals, addresses), which blanks divide Thai sentences, which line breaks are
 hard wraps, and lines that are no prose as a whole.
+
+A document of many sections, cut at the ends of paragraphs where there are any, is spread over tasks:
+each section is classified and becomes one function of the state before it, the functions of a document are composed by a
+prefix scan, and with the states known the sections are swept at the same time.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quern.session import ship_package
+from quern.session import cut_lineage, ship_package, shuffled
 
 # character classes
 LOWER, START, SPACE, BREAK, STOP, MARK, CLOSE, OPEN, Q_OPEN, Q_CLOSE, Q_BOTH, PLAIN, GAP, SKIP = range(14)
@@ -34,6 +42,11 @@ STATES = 9
 CHUNK = 128
 #: Characters that are worked on at once; bounds the memory of a task.
 SLICE_CHARS = 2_000_000
+#: Characters of a section, the part of a document that is judged and worked on as a whole. Layout (hard wraps, small letters,
+#: numbered lists) is judged by section; a document of one section is worked on where it is read, others are spread over tasks.
+SECTION_CHARS = 262_144
+#: Characters on either side of a section that is cut within a line which are looked at, too.
+MARGIN = 400
 
 # Abbreviations whose stop ends no sentence, without the stop, in small letters.
 ABBREVIATIONS = frozenset(
@@ -44,9 +57,13 @@ ABBREVIATIONS = frozenset(
     рис стр ул др г гг им т.е т.д т.п см руб тыс
     βλ σελ δηλ π.χ κ.λπ κ.ά αρ μ.μ π.μ κ κα
     ص د ق.م م.م ه म डॉ सं कि.मी श्री พ.ศ ค.ศ ดร น.ส
-    i.e e.g ff min max resp ed eds vs
+    i.e e.g ff min max resp ed eds vs ph.d b.sc m.sc
     """.split()
 )
+# Abbreviated titles, which stand before a name and begin with a capital letter.
+TITLE_ABBREVIATIONS = frozenset("Adm Brig Capt Cmdr Col Cpl Gen Gov Hon Lt Maj Messrs Mt Pres Rep Rev Sen Sgt Supt".split())
+# Abbreviations before a number only.
+NUMBER_ABBREVIATIONS = frozenset("art sec ch eq para ref tab abs kap cap lib".split())
 # Abbreviations that end a sentence before a capital letter.
 SOFT_ABBREVIATIONS = frozenset("p.m a.m ltd inc co corp etc usw μ.μ др г".split())
 # Month names that may follow an ordinal number.
@@ -55,7 +72,8 @@ MONTHS = frozenset("januar februar märz april mai juni juli august september ok
 GOING_ON = frozenset("and und et y e и και و или or but aber mais pero но in".split())
 # Characters by role.
 STOPS = ".!?"
-MARKS = "。！？｡।॥؟۔…‼⁇⁈⁉"
+# Marks that no Unicode property has: the ellipsis, and Tibetan shads.
+MORE_MARKS = "…།༎༏༐༑༔"
 CLOSERS = ")]}）］｝】〉》〕"
 OPENERS = "([{（［｛【〈《〔¿¡"
 QUOTES_OPEN = "“„«「『‹"
@@ -132,6 +150,13 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
     return after.ravel(), start.ravel()
 
 
+@cache
+def marks() -> str:
+    """Characters that end a sentence whatever follows: Unicode's sentence terminals of all scripts but ! and ?."""
+    planes = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))
+    return "".join(c for c in regex.findall(r"\p{Sentence_Break=STerm}", planes) if c not in STOPS) + MORE_MARKS
+
+
 @cache
 def base_classes() -> np.ndarray:
     """Class of every code point of the basic plane; others count as letters that start."""
@@ -145,7 +170,7 @@ def base_classes() -> np.ndarray:
         elif kind == "Cf":
             table[cp] = SKIP
     table[0xFFFD] = START
-    for chars, kind in ((STOPS, STOP), (MARKS, MARK), (CLOSERS, CLOSE), (OPENERS, OPEN), (QUOTES_OPEN, Q_OPEN), (QUOTES_CLOSE, Q_CLOSE), ('"＂', Q_BOTH)):
+    for chars, kind in ((STOPS, STOP), ("".join(c for c in marks() if ord(c) < 0x10000), MARK), (CLOSERS, CLOSE), (OPENERS, OPEN), (QUOTES_OPEN, Q_OPEN), (QUOTES_CLOSE, Q_CLOSE), ('"＂', Q_BOTH)):
         for ch in chars:
             table[ord(ch)] = kind
     table[ord("…")] = STOP
@@ -284,6 +309,7 @@ ENDS_LINE = ".!?。！？»”\"؟।:"
 BEFORE_WORD = "([{«“„\"'’/,;:|·>»”)]"
 #: Longer than any abbreviation.
 LONG_WORD = 8
+NEXT_NUMBER = re.compile(r"[ \u00a0]*\d")
 NEXT_WORD = re.compile(r"[\s ]*([^\W\d_]*)")
 
 
@@ -300,22 +326,22 @@ def without_capitals(code: np.ndarray, kinds: np.ndarray) -> bool:
     return 2 * int((ends & capital[5:]).sum()) < found
 
 
-def classify(text: str) -> np.ndarray:
+def classify(text: str, abbreviations: frozenset[str] = ABBREVIATIONS) -> np.ndarray:
     """Classes of the characters of one document."""
     if any(lead in text for lead in WRONG_LEADS) and WRONGLY_DECODED.search(text):
         right, at = read_wrongly_decoded(text)
         if len(at) < len(text):
             kinds = np.full(len(text), SKIP, np.uint8)
-            found = _classify(right)
+            found = _classify(right, abbreviations)
             kinds[at] = found
             rest = np.diff(np.append(at, len(text)))  # blanks of several characters are blank throughout
             for k in np.flatnonzero((rest > 1) & (found == SPACE)).tolist():
                 kinds[at[k] : at[k] + rest[k]] = SPACE
             return kinds
-    return _classify(text)
+    return _classify(text, abbreviations)
 
 
-def _stops(text: str, kinds: np.ndarray, stops: list[int], small: bool) -> None:
+def _stops(text: str, kinds: np.ndarray, stops: list[int], small: bool, abbreviations: frozenset[str]) -> None:
     """Make the full stops plain that end nothing."""
     plain = []
     for p in stops:
@@ -337,7 +363,7 @@ def _stops(text: str, kinds: np.ndarray, stops: list[int], small: bool) -> None:
         elif after.isalpha():
             # no blank follows: a sentence end only between a word and a capital, or between words in small text
             second = text[p + 2 : p + 3]
-            if len(bare) < 2 or "." in bare or second == "." or bare in ABBREVIATIONS or not (bare[-1].isalnum() or unicodedata.category(bare[-1])[0] == "M"):
+            if len(bare) < 2 or "." in bare or second == "." or bare in abbreviations or not (bare[-1].isalnum() or unicodedata.category(bare[-1])[0] == "M"):
                 plain.append(p)
             elif not small and after.islower() and not second.isupper():
                 plain.append(p)
@@ -349,12 +375,14 @@ def _stops(text: str, kinds: np.ndarray, stops: list[int], small: bool) -> None:
                 plain.append(p)
         elif bare:
             last = bare[-1]
-            if len(bare) < 10 and (bare in ABBREVIATIONS or (last.isalpha() and all(len(x) <= 1 for x in bare.replace("-", ".").split(".")))):
+            if word.lstrip("-–—") in TITLE_ABBREVIATIONS or (bare in NUMBER_ABBREVIATIONS and NEXT_NUMBER.match(text, p + 1)):
+                plain.append(p)
+            elif len(bare) < 10 and (bare in abbreviations or (last.isalpha() and all(len(x) <= 1 for x in bare.replace("-", ".").split(".")))):
                 plain.append(p)
     kinds[plain] = PLAIN
 
 
-def _classify(text: str) -> np.ndarray:
+def _classify(text: str, abbreviations: frozenset[str]) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(code)
     kinds = base_classes()[np.minimum(code, 0xFFFF)]
@@ -362,6 +390,7 @@ def _classify(text: str) -> np.ndarray:
         return kinds
     if code.max() > 0xFFFF:
         kinds[code > 0xFFFF] = START
+        kinds[np.isin(code, [ord(c) for c in marks() if ord(c) > 0xFFFF])] = MARK
     small = n > 5 and without_capitals(code, kinds)
     lower = kinds == LOWER
     if small:
@@ -403,7 +432,7 @@ def _classify(text: str) -> np.ndarray:
         run_of = np.cumsum(~letter)
         plain_end = (stop > LONG_WORD) & (run_of[stop - 1] == run_of[np.maximum(stop - LONG_WORD, 0) - 1]) & (stop + 1 < n)
         plain_end &= ~letter[np.minimum(stop + 1, n - 1)] & (code[np.minimum(stop + 1, n - 1)] != 0x2E)
-        _stops(text, kinds, stop[~plain_end].tolist(), small)
+        _stops(text, kinds, stop[~plain_end].tolist(), small, abbreviations)
 
     # marks by script
     for m in SPEECH_DASH.finditer(text) if "—" in text or "– " in text or "- " in text else ():
@@ -443,25 +472,36 @@ def _classify(text: str) -> np.ndarray:
     return kinds
 
 
-def run(kinds: np.ndarray) -> np.ndarray:
-    """Start flags of a sequence of classes, by chunk functions and a prefix scan."""
-    after, start = transducer()
-    n = len(kinds)
-    chunks = -(-n // CHUNK)
+def _chunks(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of CHUNK classes as columns, and the function of the states that each chunk and all before it are, a row each."""
+    after, _ = transducer()
+    chunks = -(-len(kinds) // CHUNK)
     grid = np.full(chunks * CHUNK, SKIP, np.uint8)
-    grid[:n] = kinds
+    grid[: len(kinds)] = kinds
     columns = np.ascontiguousarray(grid.reshape(chunks, CHUNK).T)
     function = np.repeat(np.arange(STATES, dtype=np.uint8)[:, None], chunks, axis=1)
     for column in columns:  # every chunk's function, all chunks at once
         function = after[function * np.uint8(CLASSES) + column]
-    function = np.ascontiguousarray(function.T)
-    reach = 1
-    while reach < chunks:  # compose: prefix over chunks in log steps
-        function[reach:] = np.take_along_axis(function[reach:], function[:-reach], axis=1)
+    return columns, compose(np.ascontiguousarray(function.T))
+
+
+def compose(functions: np.ndarray) -> np.ndarray:
+    """Prefix scan: each row becomes the function that it and all rows before it are, in log steps."""
+    out, reach = functions.copy(), 1
+    while reach < len(out):
+        out[reach:] = np.take_along_axis(out[reach:], out[:-reach], axis=1)
         reach *= 2
-    state = np.full(chunks, FRESH, np.uint8)
-    state[1:] = function[:-1, FRESH]
-    flags = np.empty((CHUNK, chunks), np.uint8)
+    return out
+
+
+def run(kinds: np.ndarray, before: int = FRESH) -> np.ndarray:
+    """Start flags of a sequence of classes after a state, by chunk functions and a prefix scan."""
+    after, start = transducer()
+    n = len(kinds)
+    columns, function = _chunks(kinds)
+    state = np.full(columns.shape[1], before, np.uint8)
+    state[1:] = function[:-1, before]
+    flags = np.empty(columns.shape, np.uint8)
     for j, column in enumerate(columns):
         at = state * np.uint8(CLASSES) + column
         flags[j] = start[at]
@@ -469,9 +509,9 @@ def run(kinds: np.ndarray) -> np.ndarray:
     return flags.T.ravel()[:n].astype(bool)
 
 
-def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def units(texts: list[str], abbreviations: frozenset[str] = ABBREVIATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the text, start and end of every unit, for a list of texts."""
-    parts = [classify(t) for t in texts]
+    parts = [classify(t, abbreviations) for t in texts]
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     kinds = np.full(int(begins[-1]), BREAK, np.uint8)  # a break after each text
@@ -486,7 +526,95 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, starts - begins[owner], ends - begins[owner]
 
 
-def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_into_sections(text: str, size: int = 0) -> list[tuple[int, int]]:
+    """Bounds of the sections of a text: up to ``size`` characters each, cut after the last end of a paragraph in the second half, else of a line, else of a word."""
+    size = size or SECTION_CHARS
+    out, at = [], 0
+    while len(text) - at > size:
+        for mark in ("\n\n", "\n", " "):
+            end = text.rfind(mark, at + size // 2, at + size)
+            if end >= 0:
+                end += len(mark)
+                break
+        else:
+            end = at + size
+        out.append((at, end))
+        at = end
+    return [*out, (at, len(text))]
+
+
+def _section_kinds(text: str, a: int, b: int, abbreviations: frozenset[str]) -> np.ndarray:
+    """Classes of a section, seen with what stands before and after it in its lines."""
+    left = max(text.rfind("\n", max(a - MARGIN, 0), a) + 1, a - MARGIN, 0)
+    right = text.find("\n", b, b + MARGIN) if text[b - 1 : b] != "\n" else b
+    right = min(b + MARGIN, len(text)) if right < 0 else right
+    return classify(text[left:right], abbreviations)[a - left : b - left]
+
+
+def _long_documents(df: DataFrame, key: str, text: str, abbreviations: frozenset[str]) -> DataFrame:
+    """``key``, ``sent_start``, ``sent_end`` of documents of more than one section, which are spread over tasks."""
+    size = SECTION_CHARS
+    kind = df.schema[key].dataType.simpleString()
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1)):
+                body = t.as_py()
+                row += 1
+                for no, (a, b) in enumerate(cut_into_sections(body, size)):
+                    left, right = max(a - MARGIN, 0), min(b + MARGIN, len(body))
+                    values = [f"{part}-{row}", no, left, a - left, b - left, body[left:right]]
+                    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                    names = [key, "uid", "section", "begin", "a", "b", "body"]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.column(0).type), *(pa.array([v], c) for v, c in zip(values, types))], names=names)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            kinds = [_section_kinds(t, a, b, abbreviations) for t, a, b in zip(p["body"], p["a"], p["b"])]
+            functions = [(_chunks(x)[1][-1] if len(x) else np.arange(STATES)).astype(np.int32) for x in kinds]
+            yield pd.DataFrame({key: p[key], "uid": p["uid"], "section": p["section"], "begin": p["begin"] + p["a"], "kinds": [x.tobytes() for x in kinds], "function": functions})
+
+    def entry_states(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("section")
+        through = compose(np.array(p["function"].tolist(), np.int64))
+        return pd.DataFrame({"uid": p["uid"], "section": p["section"], "before": np.append(FRESH, through[:-1, FRESH])})
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for k, uid, no, begin, raw, before in zip(p[key], p["uid"], p["section"], p["begin"], p["kinds"], p["before"]):
+                kinds = np.frombuffer(raw, np.uint8)
+                starts = np.flatnonzero(run(kinds, int(before)))
+                solid = (kinds != SPACE) & (kinds != BREAK) & (kinds != GAP)
+                last = np.maximum.accumulate(np.where(solid, np.arange(len(kinds)), -1))
+                ends = last[np.append(starts[1:], len(kinds)) - 1] + 1 if len(starts) else starts
+                go_on = int(last[(starts[0] if len(starts) else len(kinds)) - 1]) + 1 if not len(starts) or starts[0] else 0
+                if go_on:  # what is left of the unit of a section before
+                    starts, ends = np.append(-1 - begin, starts), np.append(go_on, ends)
+                edge = np.zeros(len(starts), bool)
+                edge[-1:] = True  # may go on in the next section
+                edge[:1] |= bool(go_on)
+                yield pd.DataFrame({key: k, "uid": uid, "section": no, "sent_start": starts + begin, "sent_end": ends + begin, "edge": edge})
+
+    def join_edges(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["section", "sent_end"])
+        unit = (p["sent_start"] >= 0).cumsum()
+        return p.groupby(unit).agg({key: "first", "sent_start": "max", "sent_end": "max"})[[key, "sent_start", "sent_end"]]
+
+    pieces = df.where(F.length(text) > size).select(key, text)
+    schema = f"`{key}` {kind}, uid string, section int, begin long, a long, b long, body string"
+    # a task an own share of the sections, of whichever documents
+    sections = cut_lineage(pieces.mapInArrow(take_apart, schema).repartition("uid", "section"))
+    judged = cut_lineage(sections.mapInPandas(judge, f"`{key}` {kind}, uid string, section int, begin long, kinds binary, function array<int>"))
+    states = judged.select("uid", "section", "function").groupBy("uid").applyInPandas(entry_states, "uid string, section int, before int")
+    swept = cut_lineage(judged.drop("function").join(shuffled(states), ["uid", "section"]).mapInPandas(sweep, f"`{key}` {kind}, uid string, section int, sent_start long, sent_end long, edge boolean"))
+    inner = swept.where(~F.col("edge")).select(key, "sent_start", "sent_end")
+    # two rows a section at most: units that go over a border are put together
+    outer = swept.where("edge").select(key, "uid", "section", "sent_start", "sent_end").groupBy("uid").applyInPandas(join_edges, f"`{key}` {kind}, sent_start long, sent_end long")
+    return inner.unionByName(outer)
+
+
+def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", abbreviations: frozenset[str] = ABBREVIATIONS) -> DataFrame:
     """``key``, ``sent_start``, ``sent_end`` of every sentence unit.
 
     Offsets count code points from 0, the end is exclusive, and no unit begins or
@@ -494,7 +622,8 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     that are list entries or footers are one unit; other lines are divided by the
     rules, across hard wraps but not across other line breaks. Null, empty and
     blank texts have no unit. Repeated rows give repeated units. Texts of any
-    length are worked on whole.
+    length are worked on whole: those of more than SECTION_CHARS characters as sections in many tasks. ``abbreviations`` (in small letters, without
+    the last stop) end no sentence.
     """
     ship_package(df.sparkSession)
     field = df.schema[key]
@@ -509,10 +638,13 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for a, b in zip(bounds, bounds[1:]):
                 if a == b:
                     continue
-                owner, start, end = units([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                owner, start, end = units([t or "" for t in texts.slice(a, b - a).to_pylist()], abbreviations)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))],
                     names=[key, "sent_start", "sent_end"],
                 )
 
-    return df.select(key, text).mapInArrow(split, schema)
+    short = df.where(F.length(text) <= SECTION_CHARS).select(key, text).mapInArrow(split, schema)
+    if not df.where(F.length(text) > SECTION_CHARS).limit(1).count():
+        return short
+    return short.unionByName(_long_documents(df, key, text, abbreviations))

@@ -102,6 +102,65 @@ def test_prefix_scan_equals_a_loop():
     assert S.run(kinds[:0]).tolist() == []
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["ሰላም ነው።", "እንዴት ነህ፧", "ደህና ነኝ።"],  # Ethiopic
+        ["သူလာသည်။", "ကျွန်တော်မသွားပါ။"],  # Burmese
+        ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"],  # Khmer
+        ["Նա եկավ։", "Ես գնացի։", "Ո՞վ է սա։"],  # Armenian
+        ["ཁོང་ཕེབས་སོང་།", "ང་འགྲོ་གི་ཡིན།"],  # Tibetan
+        ["ᱚᱞ ᱪᱤᱠᱤ᱾", "ᱥᱟᱱᱛᱟᱲᱤ᱿"],  # Ol Chiki
+        ["𑀅𑀲𑁄𑀓𑁇", "𑀥𑀫𑁆𑀫𑁇"],  # Brahmi, beyond the basic plane
+    ],
+)
+def test_marks_of_other_scripts(parts):
+    assert split(" ".join(parts)) == parts
+
+
+def test_titles_degrees_and_articles():
+    parts = ["Gen. Smith and Capt. Jones climbed Mt. Everest with Rev. Green.", "Sgt. Pepper met Gov. Lee and Bo Pel Ph.D. Smith under Art. 3 of Sec. 5.", "She loves art.", "He is a gen.", "The end."]
+    assert split(" ".join(parts)) == parts
+
+
+def test_abbreviations_are_a_parameter():
+    text = "It was xyzq. Smith who came. The end."
+    assert len(split(text)) == 3
+    owner, start, end = S.units([text], S.ABBREVIATIONS | {"xyzq"})
+    assert len(start) == 2
+
+
+def test_long_documents_over_tasks_equal_one_sweep(spark, monkeypatch):
+    rnd = random.Random(8)
+    sentence = lambda: " ".join("".join(rnd.choice("abcdelmnorstu") for _ in range(rnd.randrange(2, 9))) for _ in range(rnd.randrange(3, 12))).capitalize() + rnd.choice([".", "!", "?", "...", ". \"Go on. Now.\" said Dr. Pel."])
+    prose = lambda n, sep: sep.join(sentence() for _ in range(n))
+    texts = [
+        prose(120, " "),  # one line
+        prose(60, "\n\n"),
+        "word " * 900,  # a unit over several sections
+        "x" * 3000,
+        "“" + "Well then. " * 150 + "” said Ann. " + prose(20, " "),  # a quotation over borders
+        prose(3, " "),
+        " " * 2500 + "End.",
+        "他走了。" * 500,
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    owner, start, end = S.units(texts)
+    want = sorted((int(o), int(a), int(b)) for o, a, b in zip(owner, start, end))
+    want = sorted(want + [x for x in want if x[0] == 0])
+    monkeypatch.setattr(S, "SECTION_CHARS", 700)
+    assert sorted(map(tuple, S.sentence_units(df).collect())) == want
+
+
+def test_sections_end_at_paragraphs_where_there_are_any():
+    text = "a b.\n\n" * 30 + "c " * 60 + "d" * 200
+    bounds = S.cut_into_sections(text, 50)
+    assert bounds[0] == (0, 48) and text[:48].endswith("\n\n") and bounds[-1][1] == len(text)
+    assert all(x[1] == y[0] for x, y in zip(bounds, bounds[1:])) and max(b - a for a, b in bounds) <= 50
+    assert S.cut_into_sections("", 50) == [(0, 0)]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "Hi. Bye.", "x"), (2, None, "x"), (3, "", "x"), (1, "Hi. Bye.", "y")], "doc_id long, text string, sent_start string")
     got = sorted(map(tuple, S.sentence_units(df).collect()))
