@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.errors import QueryProblem, SettingProblem
-from quern.plans.explain import plan_text, syntax_dot
+from quern.plans.explain import plan_dot, plan_text, syntax_dot
+from quern.session import copy_session
 from quern.sources.catalog import Catalog
 from quern.sql import syntax as S
 from quern.sql.lower import Lowering
@@ -34,10 +35,15 @@ class Result:
     def explain(self, mode: str = "formatted") -> str:
         return plan_text(self.frame, mode) if self.frame is not None else self.sql or ""
 
-    def dot(self) -> str:
+    def dot(self, stage: str = "syntax") -> str:
+        """The graph of a query in the DOT language: its ``syntax``, its ``resolved``, ``logical`` (optimised) or ``physical`` plan."""
         if not isinstance(self.statement, S.Query):
             raise QueryProblem("only queries have a graph")
-        return syntax_dot(self.statement)
+        if stage == "syntax":
+            return syntax_dot(self.statement)
+        if self.frame is None:
+            raise QueryProblem("a query that is only parsed has no plan")
+        return plan_dot(self.frame, stage)
 
 
 class Job:
@@ -83,6 +89,8 @@ class Job:
         if s.name == "PARALLEL_DEGREE":
             if not isinstance(s.value, int) or s.value < 1:
                 raise SettingProblem("PARALLEL_DEGREE must be a positive number")
+            # in a session of this job, so that others keep theirs
+            self.spark = self.catalog.spark = copy_session(self.spark)
             self.spark.conf.set("spark.sql.shuffle.partitions", str(s.value))
         elif s.name == "PARSE_ONLY":
             if not isinstance(s.value, str):

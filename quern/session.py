@@ -26,6 +26,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+def copy_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings and views, whose settings can be changed without touching the first one's."""
+    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+
+
 _SHIPPED: set[str] = set()
 
 

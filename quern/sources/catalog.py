@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import CatalogProblem
+from quern.session import copy_session
 from quern.sql.lower import Relation
 
 YES, NO = ("Y", "YES"), ("N", "NO")
@@ -20,6 +20,10 @@ OPTIONS = ("TYPE", "PATH", *CSV_ONLY, "PARTITIONS", "NROWS", "AVG_ROW_SIZE")
 COLUMN_TYPES = {"STRING": T.StringType(), "INT": T.LongType()}
 
 
+#: Lines from which the types of a CSV file are told.
+SAMPLE_ROWS = 10_000
+
+
 @dataclass(frozen=True)
 class Table:
     """A registered table."""
@@ -80,13 +84,24 @@ class Catalog:
         if len(separator) != 1:
             raise CatalogProblem("SEPARATOR must be one character")
         counts = {k: self._count(k, given.get(k, 1)) for k in ("PARTITIONS", "NROWS", "AVG_ROW_SIZE")}
-        frame = self._csv(path, header, separator, given.get("COLUMNS")) if kind == "CSV" else self.spark.read.parquet(path)
-        if counts["PARTITIONS"] > 1:
-            # a wish for parallel scans, met by smaller splits and never by a shuffle
-            least = max(counts["PARTITIONS"], int(self.spark.conf.get("spark.sql.files.minPartitionNum", "1") or 1))
-            self.spark.conf.set("spark.sql.files.minPartitionNum", str(least))
+        reader = self._reader(counts["PARTITIONS"])
+        frame = self._csv(reader, path, header, separator, given.get("COLUMNS")) if kind == "CSV" else reader.read.parquet(path)
+        if reader is not self.spark:
+            shared = f"{self._prefix}_{name}_scan".replace("-", "_")
+            frame.createOrReplaceGlobalTempView(shared)
+            frame = self.spark.table(f"global_temp.`{shared}`")
         return self._register(Table(name, kind, path, frame, f"{self._prefix}_{name}", header, separator, counts["PARTITIONS"], counts["NROWS"], counts["AVG_ROW_SIZE"], given))
 
+    def _reader(self, partitions: int) -> SparkSession:
+        """The session that reads a table. PARTITIONS is met by smaller splits, never by a shuffle; how
+        a file is split belongs to the session that reads it, so such a table gets one of its own."""
+        if partitions == 1:
+            return self.spark
+        reader = copy_session(self.spark)
+        reader.conf.set("spark.sql.files.minPartitionNum", str(partitions))
+        reader.conf.set("spark.sql.files.openCostInBytes", "1")
+        return reader
+
     def add_frame(self, name: str, frame: DataFrame) -> Table:
         """Register any DataFrame, for use from Python."""
         name = name.upper()
@@ -119,13 +134,22 @@ class Catalog:
         rows += [(f"COLUMN {f.name.upper()}", f.dataType.simpleString()) for f in t.frame.schema.fields]
         return self.spark.createDataFrame(rows, "item string, value string")
 
-    def _csv(self, path: str, header: bool, separator: str, columns: str | int | None) -> DataFrame:
-        reader = self.spark.read.option("header", header).option("sep", separator)
+    def _csv(self, session: SparkSession, path: str, header: bool, separator: str, columns: str | int | None) -> DataFrame:
+        """Columns as declared, or as the first SAMPLE_ROWS lines have them: types are told without
+        reading all of the file. A value further down that isn't of its column's type is an error, not a null."""
+        reader = session.read.option("header", header).option("sep", separator)
         if columns is not None:
             return reader.schema(declared_schema(str(columns))).option("enforceSchema", True).csv(path)
-        found = reader.option("inferSchema", True).csv(path)
+        lines = [r[0] for r in session.read.text(path).limit(SAMPLE_ROWS + 1).collect()]
+        if not lines:
+            raise CatalogProblem(f"{path} is empty, so it needs COLUMNS")
+        told = reader.option("inferSchema", True).csv(session.sparkContext.parallelize(lines, 1)).schema
+        names = reader.csv(path).columns
         # whole numbers are 64 bits wide, names are in capitals
-        return found.select(*[F.col(f"`{f.name}`").cast("long").alias(f.name.upper()) if isinstance(f.dataType, T.IntegerType) else F.col(f"`{f.name}`").alias(f.name.upper()) for f in found.schema.fields])
+        fields = [T.StructField(n, T.LongType() if isinstance(f.dataType, T.IntegerType) else f.dataType) for n, f in zip(names, told.fields)]
+        mode = "PERMISSIVE" if len(lines) <= SAMPLE_ROWS else "FAILFAST"
+        found = reader.schema(T.StructType(fields)).option("mode", mode).csv(path)
+        return found.toDF(*[n.upper() for n in names])
 
     @staticmethod
     def _yes_no(value: str | int) -> bool:
