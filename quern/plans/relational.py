@@ -6,6 +6,7 @@ parsed and lowered. Where the text is plain SQL, it is its own oracle.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from functools import partial
@@ -13,23 +14,45 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.job import Job
+from quern.job import Job, write_result
 from quern.operators import exchange
+from quern.session import ensure_checkpoint_dir
 from quern.sources.tables import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings emp dept customers suppliers products categories employees".split()
 
 
-_JOBS: dict[tuple[str, str], Job] = {}
+_JOBS: dict[tuple, Job] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder was changed, and its size."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return status.getModificationTime(), status.getLen()
+
+
+def _script(folder: str, names: list[str], text: str) -> str:
+    return "".join(f'CATALOG TABLE {t} (TYPE = PARQUET, PATH = "{folder}/{t}.parquet");' for t in names) + text
+
+
+def _small_letters(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.lower() for c in df.columns])
 
 
 def run(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Result of a query; its columns have small letters. A table is catalogued once per session."""
-    job = _JOBS.setdefault((spark.sparkContext.applicationId, folder), Job(spark))
+    """Result of a query; its columns have small letters. The tables of a query are catalogued once per session, as long as their files stay as they are."""
     words = {w.lower() for w in re.findall(r"\w+", text)}
-    missing = [t for t in TABLES if t in words and t.upper() not in job.catalog.tables]
-    out = job.query("".join(f'CATALOG TABLE {t} (TYPE = PARQUET, PATH = "{folder}/{t}.parquet");' for t in missing) + text)
-    return out.toDF(*[c.lower() for c in out.columns])
+    names = [t for t in TABLES if t in words]
+    key = (spark.sparkContext.applicationId, folder, *((t, *_stamp(spark, f"{folder}/{t}.parquet")) for t in names))
+    if "SET" in text.split() or key not in _JOBS:
+        job = Job(spark)
+        out = job.query(_script(folder, names, text))
+        if "SET" not in text.split():  # a job with settings of its own isn't used again
+            _JOBS[key] = job
+    else:
+        out = _JOBS[key].query(text)
+    return _small_letters(out)
 
 
 #: name: text, or (text, SQL of the same meaning).
@@ -48,27 +71,19 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "filter_constant": "SELECT n_name FROM nation WHERE 1 = 2",
     "filter_literal_left": "SELECT p_partkey FROM part WHERE 45 < p_size",
     "filter_three_valued": "SELECT emp_id FROM emp WHERE age > 60 OR salary > 9000",
+    "filter_constant_true": "SELECT n_name FROM nation WHERE 1 = 1",
+    "filter_computed": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice + 1.0 > 104000.0",
     "bench_filtered_scan": "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem WHERE l_extendedprice + 1.0 = 902.0",
     # expressions
-    "arithmetic": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax AS net, l_quantity - 1 AS less_one FROM lineitem WHERE l_orderkey < 500",
-    "arithmetic_whole": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax AS net, l_quantity - 1 AS less_one FROM lineitem",
+    "arithmetic": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax AS net, l_quantity - 1 AS less_one FROM lineitem",
     "unary_minus": "SELECT s_suppkey, -s_acctbal AS owed, -(s_acctbal + 1.5) AS more FROM supplier",
-    "division": "SELECT o_orderkey, o_orderkey / 7 AS part_of, o_totalprice / 2 AS half FROM orders WHERE o_orderkey < 200",
-    "division_whole": "SELECT o_orderkey, o_orderkey / 7 AS part_of, o_totalprice / 2 AS half FROM orders",
+    "division": "SELECT o_orderkey, o_orderkey / 7 AS part_of, o_totalprice / 2 AS half FROM orders",
     "literals": "SELECT n_nationkey, 'abc' AS word, 7 AS seven, 2.5 AS half FROM nation",
     "cast_literal": (
-        "SELECT o_orderkey FROM orders WHERE o_orderkey < CAST('100' AS INT64) AND o_orderdate > CAST('1996-01-01' AS DATE32)",
-        "SELECT o_orderkey FROM orders WHERE o_orderkey < CAST('100' AS BIGINT) AND o_orderdate > CAST('1996-01-01' AS DATE)",
-    ),
-    "cast_literal_whole": (
         "SELECT o_orderkey FROM orders WHERE o_totalprice > CAST('100000' AS INT64) AND o_orderdate > CAST('1996-01-01' AS DATE32)",
         "SELECT o_orderkey FROM orders WHERE o_totalprice > CAST('100000' AS BIGINT) AND o_orderdate > CAST('1996-01-01' AS DATE)",
     ),
     "cast_column": (
-        "SELECT o_orderkey, CAST(o_totalprice AS FLOAT64) AS price, CAST(o_orderkey AS UTF8) AS key_text, CAST(CAST(o_orderdate AS DATE32) AS UTF8) AS day FROM orders WHERE o_orderkey < 300",
-        "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderkey AS VARCHAR) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_orderkey < 300",
-    ),
-    "cast_column_whole": (
         "SELECT o_orderkey, CAST(o_totalprice AS FLOAT64) AS price, CAST(o_orderkey AS UTF8) AS key_text, CAST(CAST(o_orderdate AS DATE32) AS UTF8) AS day FROM orders",
         "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderkey AS VARCHAR) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders",
     ),
@@ -105,6 +120,12 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)",
     "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000.0)",
     "anti_not_in_null": "SELECT dept_id FROM dept WHERE dept_id NOT IN (SELECT emp_dept_id FROM emp)",
+    "anti_not_in_no_null": "SELECT dept_id FROM dept WHERE dept_id NOT IN (SELECT emp_dept_id FROM emp WHERE emp_dept_id IS NOT NULL AND salary > 12000)",
+    "anti_not_in_left_null": "SELECT emp_id FROM emp WHERE emp_dept_id NOT IN (SELECT dept_id FROM dept WHERE deleted_at IS NULL)",
+    "anti_not_in_empty": "SELECT emp_id FROM emp WHERE emp_dept_id NOT IN (SELECT dept_id FROM dept WHERE dept_id < 0)",
+    "any_not_equal": "SELECT s_suppkey FROM supplier WHERE s_nationkey <> ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+    "all_equal_not": "SELECT emp_id FROM emp WHERE NOT (age < ALL (SELECT age FROM emp WHERE age > 40))",
+    "any_null": "SELECT p_partkey FROM part WHERE p_size < ANY (SELECT age FROM emp WHERE salary > 14000)",
     "exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')",
     "any_sub": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9000.0)",
@@ -128,6 +149,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "agg_arith": ("SELECT n_regionkey, sum(n_nationkey + 10) * 99 / count(n_nationkey + 50) AS mixed, avg(n_nationkey) AS mean FROM nation GROUP BY n_regionkey",) * 2,
     "group_by_expr": "SELECT o_custkey - o_custkey / 1 + 5 AS five, o_orderstatus, count(*) AS n FROM orders GROUP BY o_custkey - o_custkey / 1 + 5, o_orderstatus",
     "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 18 AND o_custkey > 10",
+    "having_global_kept": "SELECT count(*) AS n FROM orders HAVING count(*) > 10",
     "having_global": "SELECT count(*) AS n FROM orders HAVING count(*) > 1000000",
     # distinct, order, top
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
@@ -240,6 +262,17 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "tpch_q19_like": """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity >= 1 AND l_quantity <= 11 AND p_size BETWEEN 1 AND 15
            OR p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity >= 10 AND l_quantity <= 20 AND p_size BETWEEN 1 AND 30""",
     "tpch_q20_like": "SELECT s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%') AND l_quantity > (SELECT 0.009 * sum(x.l_quantity) FROM lineitem x WHERE x.l_partkey = lineitem.l_partkey))",
+    # statements and options
+    "comments": "// the nations\nSELECT n_name, -- by name\n n_regionkey /* and region; */ FROM nation WHERE n_name <> '// no -- comment'",
+    "set_parallel_degree": (
+        "SET PARALLEL_DEGREE = 3; SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+        "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    ),
+    "set_parse_only": (
+        "SET PARSE_ONLY = 'true'; SELECT o_orderkey FROM orders; SET PARSE_ONLY = 'no'; SELECT count(*) AS n FROM orders",
+        "SELECT count(*) AS n FROM orders",
+    ),
+    "set_trace": ("SET TRACE = 'info'; SELECT r_name FROM region", "SELECT r_name FROM region"),
     "documents_by_lang": "SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY lang",
 }
 
@@ -255,8 +288,80 @@ def repartition_agg(spark: SparkSession, folder: str) -> DataFrame:
     return exchange.keyed_aggregate(table(spark, folder, "orders"), 8, ["o_custkey"], [F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("high")])
 
 
+def _csv_copy(spark: SparkSession, folder: str, name: str, header: bool, separator: str) -> str:
+    """A table as CSV files in the folder that the executors share."""
+    ensure_checkpoint_dir(spark)
+    kind = hashlib.sha1(f"{folder} {name} {header} {separator}".encode()).hexdigest()[:12]
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/csv-{kind}"
+    table(spark, folder, name).write.mode("overwrite").option("header", header).option("sep", separator).csv(path)
+    return path
+
+
+def _over_csv(spark: SparkSession, folder: str, header: bool, separator: str, options: str, text: str) -> DataFrame:
+    path = _csv_copy(spark, folder, "part", header, separator)
+    return _small_letters(Job(spark).query(f'CATALOG TABLE part_csv (TYPE = CSV, PATH = "{path}"{options}); {text}'))
+
+
+def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Types from the file: whole numbers of 64 bits, numbers with a point, texts."""
+    return _over_csv(spark, folder, True, ",", "", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part_csv WHERE p_size > 20")
+
+
+def csv_declared(spark: SparkSession, folder: str) -> DataFrame:
+    """Without a header, with another separator and declared columns."""
+    columns = "p_partkey=INT,p_name=STRING,p_brand=STRING,p_type=STRING,p_size=INT,p_retailprice=STRING"
+    return _over_csv(spark, folder, False, "|", f', HEADER = NO, SEPARATOR = "|", COLUMNS = "{columns}"', "SELECT p_partkey, p_name, p_size + 1 AS size_more FROM part_csv")
+
+
+def csv_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Read in at least four splits."""
+    return _over_csv(spark, folder, True, ";", ', SEPARATOR = ";", PARTITIONS = 4, NROWS = 2000, AVG_ROW_SIZE = 80', "SELECT p_brand, count(*) AS n, max(p_size) AS largest FROM part_csv GROUP BY p_brand")
+
+
+def csv_result(spark: SparkSession, folder: str) -> DataFrame:
+    """What the sink writes, read again: files without a header."""
+    path = _csv_copy(spark, folder, "region", False, ",") + "-result"
+    write_result(run(spark, folder, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3"), path)
+    return spark.read.schema("n_nationkey int, n_name string").csv(path)
+
+
+def describe_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All that DESCRIBE says of a table but where it lies."""
+    results = Job(spark).run(f'CATALOG TABLE customer (TYPE = PARQUET, PATH = "{folder}/customer.parquet", PARTITIONS = 2, NROWS = 1500); DESCRIBE TABLE customer;')
+    return results[-1].frame.where(F.col("item") != "PATH")
+
+
+#: Texts that are refused, and the error of each.
+REFUSED = {
+    "SET SPEED = 3": "SettingProblem",
+    "SET PARALLEL_DEGREE = 0": "SettingProblem",
+    "SELECT sum(max(n_nationkey)) FROM nation": "QueryProblem",
+    "SELECT n_name, count(*) FROM nation": "AnalysisException",
+    "SELECT a.n_name FROM nation a, region a": "QueryProblem",
+    "SELECT n_name FROM nowhere": "QueryProblem",
+    "SELECT n_name FROM nation WHERE": "SyntaxProblem",
+    "CATALOG TABLE nation (TYPE = CSV, PATH = 'x')": "CatalogProblem",
+    "CATALOG TABLE other (TYPE = PARQUET, PATH = 'x', HEADER = YES)": "CatalogProblem",
+}
+
+
+def refused(spark: SparkSession, folder: str) -> DataFrame:
+    """What is no statement, has no meaning or breaks a rule, and the error that it gives."""
+    rows = []
+    for text in REFUSED:
+        try:
+            Job(spark).run(_script(folder, ["nation", "region"], text))
+            rows.append((text, "none"))
+        except Exception as e:  # noqa: BLE001
+            rows.append((text, type(e).__name__))
+    return spark.createDataFrame(rows, "statement string, error string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run, text=t if isinstance(t, str) else t[0]) for name, t in TEXTS.items()}
-QUERIES |= {"repartition_join": repartition_join, "repartition_agg": repartition_agg}
+QUERIES |= {
+    f.__name__: f
+    for f in (repartition_join, repartition_agg, csv_scan, csv_declared, csv_partitions, csv_result, describe_table, refused)
+}
 
 _MIXED = {
     "agg_arith": "SELECT n_regionkey, CAST(sum(n_nationkey + 10) * 99 AS DOUBLE) / count(n_nationkey + 50) AS mixed, avg(n_nationkey) AS mean FROM nation GROUP BY n_regionkey",
@@ -269,4 +374,13 @@ ORACLE_SQL: dict[str, str] = {name: _MIXED.get(name, t if isinstance(t, str) els
 ORACLE_SQL |= {
     "repartition_join": "SELECT l_orderkey, count(*) AS line_count, max(l_quantity) AS max_qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
     "repartition_agg": "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS high FROM orders GROUP BY o_custkey",
+    "comments": "SELECT n_name, n_regionkey FROM nation",
+    "csv_scan": "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part WHERE p_size > 20",
+    "csv_declared": "SELECT p_partkey, p_name, CAST(p_size + 1 AS BIGINT) AS size_more FROM part",
+    "csv_partitions": "SELECT p_brand, count(*) AS n, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY p_brand",
+    "csv_result": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3",
+    "describe_table": """SELECT 'COLUMN ' || upper(column_name) AS item, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS value
+                         FROM (DESCRIBE customer)
+                         UNION ALL VALUES ('TABLE', 'CUSTOMER'), ('TYPE', 'PARQUET'), ('PARTITIONS', '2'), ('NROWS', '1500'), ('AVG_ROW_SIZE', '1')""",
+    "refused": "SELECT * FROM (VALUES " + ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', '{e}')" for t, e in REFUSED.items()) + ") AS x(statement, error)",
 }

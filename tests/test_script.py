@@ -167,7 +167,9 @@ def test_settings(spark, job):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         got = job.run("SET PARALLEL_DEGREE = 3; SET PARSE_ONLY = 'true'; select name from staff; set parse_only = 'no'; select name from staff")
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        assert job.spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before  # other jobs keep theirs
+        assert got[4].frame.sparkSession.conf.get("spark.sql.shuffle.partitions") == "3"
         assert got[2].frame is None and "`NAME`" in got[2].sql and got[4].frame is not None
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -179,6 +181,66 @@ def test_plans(job):
     assert r.dot().startswith("digraph") and "TableRef" in r.dot()
 
 
+def test_graphs_of_plans(job):
+    r = job.run("select label, count(*) from staff, units where unit = unit_id and age > (select min(age) from staff) group by label")[0]
+    resolved, logical, physical = (r.dot(x) for x in ("resolved", "logical", "physical"))
+    assert "Aggregate" in resolved and "Filter" in resolved and "Join Inner" in logical and "Relation" in logical
+    assert "HashAggregate" in physical and "Exchange hashpartitioning" in physical and "Scan csv" in physical and "dashed" in physical
+    for text in (resolved, logical, physical):
+        assert text.count("{") >= 1 and text.endswith("}") and text.count("->") >= text.count("[label=") - 1
+    with pytest.raises(ValueError):
+        r.dot("cost")
+    parsed = job.run("set parse_only = 'true'; select name from staff")[1]
+    assert "TableRef" in parsed.dot()
+    with pytest.raises(QueryProblem):
+        parsed.dot("physical")
+
+
+def test_partitions_are_of_one_table(spark, files, tmp_path):
+    (tmp_path / "n.csv").write_text("k\n" + "\n".join(map(str, range(2000))))
+    j = Job(spark)
+    j.run(f'CATALOG TABLE a (TYPE = CSV, PATH = "{tmp_path}/n.csv", PARTITIONS = 5); CATALOG TABLE b (TYPE = CSV, PATH = "{tmp_path}/n.csv")')
+    assert j.query("select k from a").rdd.getNumPartitions() >= 5 and j.query("select k from b").rdd.getNumPartitions() == 1
+    assert rows(j, "select count(*), sum(a.k) from a, b where a.k = b.k") == [(2000, 1999000)]
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_types_of_csv_come_from_its_first_lines(spark, tmp_path, monkeypatch):
+    from quern.sources import catalog
+
+    monkeypatch.setattr(catalog, "SAMPLE_ROWS", 3)
+    (tmp_path / "n.csv").write_text("k,w\n1,a\n2,b\n3,c\n4,d\n")
+    (tmp_path / "bad.csv").write_text("k,w\n1,a\n2,b\n3,c\nx,d\n")
+    (tmp_path / "none.csv").write_text("")
+    j = Job(spark)
+    j.run(f'CATALOG TABLE n (TYPE = CSV, PATH = "{tmp_path}/n.csv"); CATALOG TABLE bad (TYPE = CSV, PATH = "{tmp_path}/bad.csv")')
+    assert dict(j.query("select * from n").dtypes) == {"K": "bigint", "W": "string"} and rows(j, "select sum(k) from n") == [(10,)]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        j.query("select k from bad").collect()
+    with pytest.raises(CatalogProblem):
+        j.run(f'CATALOG TABLE none (TYPE = CSV, PATH = "{tmp_path}/none.csv")')
+
+
+@pytest.mark.parametrize("name", ["all_sub_null", "all_aggregate", "anti_not_in", "anti_not_in_left_null", "tpch_q16_like", "any_grouped", "all_equal_not"])
+def test_no_row_meets_all_rows_of_a_subquery(spark, name):
+    from quern.plans import relational
+
+    df = relational.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert not [x for x in plan.splitlines() if "LeftAnti, BuildRight, true" in x]  # the null-aware broadcast
+
+
+def test_not_in_with_nulls_and_without_rows(job):
+    assert rows(job, "select name from staff where unit not in (select unit from staff where name = 'eve')") == []
+    assert rows(job, "select name from staff where unit not in (select unit from staff where age > 100)") == [("ada",), ("bob",), ("cyd",), ("dan",), ("eve",)]
+    assert rows(job, "select name from staff where unit <> all (select unit_id from units) or name = 'ada'") == [("ada",), ("dan",)]
+    assert rows(job, "select name from staff s where age not in (select x.age from staff x where x.unit = s.unit and x.name <> s.name)") == [("ada",), ("bob",), ("cyd",), ("dan",), ("eve",)]
+    assert rows(job, "select name from staff where not (unit > any (select unit from staff where name = 'eve'))") == []
+    assert rows(job, "select name from staff where not (unit > all (select unit from staff where name = 'dan' or name = 'eve'))") == [("ada",), ("bob",), ("cyd",), ("dan",)]
+
+
 def test_pushdown_reaches_parquet(spark, job, tmp_path):
     job.query("select name, age, pay from staff").write.parquet(str(tmp_path / "p"))
     j = Job(spark)
@@ -195,15 +257,22 @@ def test_co_partitioned_steps_share_an_exchange(spark):
 
     a = spark.range(100).withColumnRenamed("id", "x")
     b = spark.range(100).withColumnRenamed("id", "y")
-    df = co_partitioned_join(a, b, ["x"], ["y"], 4).groupBy("x").agg(F.count("y"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 2
+    df = co_partitioned_join(a, b, ["x"], ["y"], 3).groupBy("x").agg(F.count("y"))
+    assert len(df.collect()) == 100
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 4])
+def test_a_keyed_aggregate_has_one_exchange(spark, parts):
+    from pyspark.sql import functions as F
+
+    from quern.operators.exchange import keyed_aggregate
+
+    df = keyed_aggregate(spark.range(100).select((F.col("id") % 10).alias("k")), parts, ["k"], [F.count(F.lit(1)).alias("n")])
+    assert df.rdd.getNumPartitions() <= parts and {tuple(r) for r in df.collect()} == {(k, 10) for k in range(10)}
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan
 
 
 def test_command_line(spark, files, tmp_path, capsys):
