@@ -21,6 +21,8 @@ SKETCH_BUCKETS = 4096
 ROWS_PER_TASK = 100_000
 #: Heavy keys at most: bounds the table of them, which is broadcast.
 MOST_HEAVY = 100_000
+#: Heavy keys up to this number are told by an expression, more by a broadcast join.
+FEW_HEAVY = 32
 #: Rows and bytes (as JSON text) of a join's other side up to which its heavy part is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
@@ -79,8 +81,11 @@ def _table(df: DataFrame, key: str, parts: list[tuple], column: str = "__hot_key
 
 def spread(df: DataFrame, key: str, parts: list[tuple]) -> DataFrame:
     """``df`` with ``__tasks``: for rows of heavy keys how many tasks the key needs, else null."""
-    if not parts:
-        return df.withColumn("__tasks", F.lit(None).cast("long"))
+    if len(parts) <= FEW_HEAVY:  # few keys go into the expression itself
+        tasks = F.lit(None).cast("long")
+        for k, _, n in parts:
+            tasks = F.when(F.col(key) == F.lit(k), F.lit(n).cast("long")).otherwise(tasks)
+        return df.withColumn("__tasks", tasks)
     hot = _table(df, key, parts)
     return df.join(hot, F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
 

@@ -51,6 +51,17 @@ def test_reasons(spark, rows):
     ]
 
 
+def test_many_dealt_keys(spark, monkeypatch):
+    from quern.operators import skew
+
+    children = [(i, i % 7, D(2023, 1 + i % 12, 1), "a") for i in range(200)]
+    parents = [(k, D(2023, 3, 1), D(2023, 9, 1), "x") for k in range(5)]
+    want = found(spark, children, parents)
+    assert found(spark, children, parents, rows_per_task=5) == want
+    monkeypatch.setattr(skew, "FEW_HEAVY", 2)
+    assert found(spark, children, parents, rows_per_task=5) == want
+
+
 def test_empty_tables(spark):
     assert found(spark, [], PARENTS) == []
     assert found(spark, [(1, 1, D(2023, 1, 1), "a")], []) == [(1, "missing", "2023-01")]
