@@ -123,7 +123,7 @@ def shortens(token: str, word: str, stopped: bool = False, late: bool = True) ->
         return stopped or late
     if not _is_subsequence(token, word):
         return False
-    if len(token) <= len(word) - 2 and (not set(token[1:-1]) & set("aeiou") or (token[-1] == word[-1] and len(token) <= len(word) // 2)):
+    if len(token) <= len(word) - 2 and (not set(token[1:-1]) & set("aeiou") or (token[-1] == word[-1] and (late or len(token) <= len(word) // 2))):
         return True
     return len(word) >= 8 and len(token) >= 5 and token[:3] == word[:3]
 
@@ -182,7 +182,7 @@ class Trades:
     def may_be(self, trade: str, known: str) -> bool:
         """Whether a trade that isn't named in full can be a known one; without a word it can be any."""
         short = [w.replace("'", "") for w in trade.split() if w not in self.words]
-        return not short or any(w[0] == x[0] and (_is_subsequence(x, w) or _near(x, w)) for x in short if x for w in known.split())
+        return not short or any(w[0] == x[0] and (_is_subsequence(x, w) or _near(x, w) or _one_stem(x, w, True)) for x in short if x for w in known.split())
 
     def groups(self, trades: list[str]) -> list[str]:
         """A label for each of the trades of firms with equal words: firms with different labels are not one node.
@@ -265,6 +265,7 @@ def learn_trades(names: DataFrame, share: float = TRADE_SHARE, late_share: float
 def read_company(name: str, trades: Trades) -> dict | None:
     """``core`` words, their probe ``forms``, and for a shortened name ``whole`` and ``short``."""
     raw = company_words(name)
+    turned = re.match(r"\s*[^\s,]+,", name) is not None  # what stands before a comma was at the end
     tokens = [(t.strip(".-&'").replace("-", ""), t.endswith(".")) for t in raw]
     kept: list[tuple[str, str, bool]] = []
     trade: list[str] = []
@@ -277,7 +278,7 @@ def read_company(name: str, trades: Trades) -> dict | None:
             trade.append(pair)
             i += 2
             continue
-        if word and (trades.is_trade(word.replace("'", ""), stopped, i > 1) or word in LEGAL):
+        if word and (trades.is_trade(word.replace("'", ""), stopped, i > 1 or (turned and i == 0)) or word in LEGAL):
             if len(kept) == 2 and not trade and word in trades.words:
                 halves.append(word)
             trade.append(word)
@@ -344,12 +345,16 @@ def read_contact(name: str, nicknames: Mapping[str, list[str]] = NICKNAMES) -> d
     if len(words) == 2:
         for k in (0, 1):
             # a stop cuts a name off, unless it stands behind a short form that isn't its beginning
-            if len(words[k]) == 1 or (left[k][1] and len(words[k]) <= 4 and any(x.startswith(words[k]) for x in nicknames.get(words[k], [words[k]]))):
+            stands_for = nicknames.get(words[k], [words[k]])
+            if len(words[k]) == 1 or (left[k][1] and len(words[k]) <= 4 and any(x.startswith(words[k]) for x in stands_for)):
                 short, whole = f"{words[k]}||c", words[1 - k]
                 break
+            if len(stands_for) > 1:  # it depends on who else is there
+                short, whole = f"{'/'.join(sorted(stands_for))}||n", words[1 - k]
+                break
     options = [nicknames.get(w, [w]) for w in words]
     forms = set()
-    core = None
+    core = " ".join(words) if short and short.endswith("n") else None  # not that of one of the names it may stand for
     for choice in _choices(options):
         if len(words) == 2:
             forms |= {choice[0] + " " + choice[1], choice[1] + " " + choice[0]}
@@ -384,17 +389,22 @@ def parse_names(df: DataFrame, trades: Trades, nicknames: Mapping[str, list[str]
     return df.select("name_kind", "name").mapInPandas(run, schema)
 
 
-def fits(short: str, word: str) -> bool:
-    """Whether ``word`` can be what ``short`` (see ``read_company``) shortens."""
+def fit(short: str, word: str) -> int | None:
+    """How well ``word`` can be what ``short`` (see ``read_company``) shortens: 0 as it stands, 1 with one letter amiss, None not at all."""
     a, b, kind = short.split("|")
+    if kind == "n":
+        names = a.split("/")
+        return 0 if word in names else 1 if any(len(x) > SHORT_WORD and _near(word, x) for x in names) else None
     if kind == "c":
-        return word.startswith(a) or (len(a) >= 4 and any(_near(a, word[:n]) for n in (len(a) - 1, len(a), len(a) + 1) if n < len(word)))
+        near = len(a) >= 4 and any(_near(a, word[:n]) for n in (len(a) - 1, len(a), len(a) + 1) if n <= len(word))
+        return 0 if word.startswith(a) else 1 if near else None
     if not word.startswith(a):
-        return False
+        return None
     if kind == "i":
-        return b in word[2:-2]
-    tail = word[-len(b) :]
-    return tail == b or any(_near(b, word[-n:]) for n in (len(b) - 1, len(b), len(b) + 1) if 2 <= n < len(word))
+        return 0 if b in word[2:-2] else None
+    if word.endswith(b):
+        return 0
+    return 1 if any(_near(b, word[-n:]) for n in (len(b) - 1, len(b), len(b) + 1) if 2 <= n < len(word)) else None
 
 
 def _without_half(known: str, form: str, core: str) -> str:
@@ -439,7 +449,7 @@ def link_names(names: DataFrame, k: int = 2, trade_words: Iterable[str] = TRADE_
     ``names`` has ``name_kind`` (``company`` or ``contact``) and ``name``. Spellings
     of one class name the same entity: their words are alike up to one edit a word
     (two edits where the trade is the same), in any order, nicknames taken as the
-    names they stand for; see ``accepted`` for short words. Firms whose trades are known and differ are not linked; one
+    names they stand for; see ``accepted`` for short words. A nickname that may stand for two names counts as a shortened one. Firms whose trades are known and differ are not linked; one
     of unknown trade joins those it fits best, and none of them if these differ. A spelling with an initial or a cut-off word joins the class
     that its whole word leads to, if there is exactly one such class; else it stays apart, together with equally
     shortened ones. Null and blank names are left out, repeated rows count once, other columns are not read.
@@ -543,20 +553,24 @@ def link_names(names: DataFrame, k: int = 2, trade_words: Iterable[str] = TRADE_
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = [
-                not trades.differ(trades.known(x), trades.known(y)) and (fits(s, other) or any(fits(s, f.split(" ")[0]) for f in forms if f.endswith(" " + word)))
-                for s, word, other, forms, x, y in zip(p.short, p.word, p.other, p.forms, p.trades, p.short_trades)
-            ]
-            yield p.loc[np.array(ok, bool), ["short_id", "class_id", "distance"]]
+            ranks = []
+            for s, word, other, forms, d, x, y in zip(p["short"], p["word"], p["other"], p["forms"], p["distance"], p["trades"], p["short_trades"]):
+                full_trade, own_trade = trades.known(x), trades.known(y)
+                able = not trades.differ(full_trade, own_trade) and (not full_trade or all(trades.may_be(t, full_trade) for t in y if not trades.known([t])))
+                found = [f for f in (fit(s, o) for o in (other, *(f.split(" ")[0] for f in forms if f.endswith(" " + word)))) if f is not None] if able else []
+                # the fewest letters amiss; of equal ones a firm whose trade is the same
+                ranks.append(2 * (d + min(found)) + (not set(full_trade.split()) & set(own_trade.split())) if found else -1)
+            out = p[["short_id", "class_id"]].assign(rank=np.array(ranks, np.int32))
+            yield out[out["rank"] >= 0]
 
     found = (
         cut_names.join(shuffled(by_word), "t")
         .join(shuffled(words), "s")
         .select("short_id", "short", "class_id", "distance", "word", "other", "forms", "trades", "short_trades")
-        .mapInPandas(match, "short_id long, class_id long, distance int")
+        .mapInPandas(match, "short_id long, class_id long, rank int")
     )
-    best = found.groupBy("short_id", "distance").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
-    least = best.groupBy("short_id").agg(F.min_by(F.struct("class_id", "other"), "distance").alias("b"))
+    best = found.groupBy("short_id", "rank").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
+    least = best.groupBy("short_id").agg(F.min_by(F.struct("class_id", "other"), "rank").alias("b"))
     joined = cut_lineage(least.where(F.col("b.class_id") == F.col("b.other")).select(F.col("short_id").alias("id"), F.col("b.class_id").alias("joined")))
     # the others are one with equally shortened names only
     lone = nodes.where(F.col("short").isNotNull()).join(shuffled(joined), "id", "left_anti")

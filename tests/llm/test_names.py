@@ -53,6 +53,16 @@ def test_an_initial_that_fits_two_persons_joins_neither(spark):
     assert len(got) == 3
 
 
+def test_a_nickname_of_two_names_joins_the_only_one_there_is(spark):
+    got = classes(spark, "contact", ["Ted Dornebal", "Edward Dornebal", "Theodore Dornebal", "Ted Pelvinor", "Theodore Pelvinor", "Pelvinor, Teddy", "Ted Kurtamon", "Teddy Kurtamon"])
+    assert got == [["Edward Dornebal"], ["Pelvinor, Teddy", "Ted Pelvinor", "Theodore Pelvinor"], ["Ted Dornebal"], ["Ted Kurtamon", "Teddy Kurtamon"], ["Theodore Dornebal"]]
+
+
+def test_a_shortened_firm_joins_the_one_of_its_trade_and_the_closest(spark):
+    got = classes(spark, "company", ["Varlo N.T. Bakery", "Varlo Norththorn Bakery", "Varlo Northford", "Kembus Northm. Brew. Ltd", "Kembus North Thorn Brothers", "Kembus Northmill Brewing", "Glellilex Foods Sunprot.", "Glellilex Sunport Foods", "Brewg, Zamsavo Bluebrook", "Zamsavo Bluebrook Brewing"])
+    assert got == [["Brewg, Zamsavo Bluebrook", "Zamsavo Bluebrook Brewing"], ["Glellilex Foods Sunprot.", "Glellilex Sunport Foods"], ["Kembus North Thorn Brothers"], ["Kembus Northm. Brew. Ltd", "Kembus Northmill Brewing"], ["Varlo N.T. Bakery", "Varlo Norththorn Bakery"], ["Varlo Northford"]]
+
+
 def test_kinds_do_not_mix_and_empty_input(spark):
     df = spark.createDataFrame([("company", "Ann Dornebal"), ("contact", "Ann Dornebal"), ("contact", "  ")], "name_kind string, name string")
     assert len({r["class_id"] for r in N.link_names(df).collect()}) == 2
