@@ -331,6 +331,18 @@ def describe_table(spark: SparkSession, folder: str) -> DataFrame:
     return results[-1].frame.where(F.col("item") != "PATH")
 
 
+def plan_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tables, joins and aggregates the graphs of a query show, at each stage."""
+    text = "SELECT r_name, count(*) AS n FROM nation, region WHERE n_regionkey = r_regionkey GROUP BY r_name;"
+    result = Job(spark).run(_script(folder, ["nation", "region"], text))[-1]
+    rows = []
+    for stage, scan, join, group in (("syntax", "TableRef", "Infix op==", "Aggregate"), ("resolved", "Relation", "Join", "Aggregate"), ("logical", "Relation", "Join", "Aggregate"), ("physical", "Scan parquet", "Join", "HashAggregate")):
+        nodes = [x.split('label="')[1] for x in result.dot(stage).splitlines() if 'label="' in x and "->" not in x]
+        named = lambda word: sum(word in x.split(" [")[0][:60] if word == "Join" else x.startswith(word) or x.startswith(f"File{word}") for x in nodes)
+        rows.append((stage, named(scan), named(join), named(group)))
+    return spark.createDataFrame(rows, "stage string, tables int, joins int, aggregates int")
+
+
 #: Texts that are refused, and the error of each.
 REFUSED = {
     "SET SPEED = 3": "SettingProblem",
@@ -360,7 +372,7 @@ def refused(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run, text=t if isinstance(t, str) else t[0]) for name, t in TEXTS.items()}
 QUERIES |= {
     f.__name__: f
-    for f in (repartition_join, repartition_agg, csv_scan, csv_declared, csv_partitions, csv_result, describe_table, refused)
+    for f in (repartition_join, repartition_agg, csv_scan, csv_declared, csv_partitions, csv_result, describe_table, plan_graphs, refused)
 }
 
 _MIXED = {
@@ -382,5 +394,6 @@ ORACLE_SQL |= {
     "describe_table": """SELECT 'COLUMN ' || upper(column_name) AS item, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS value
                          FROM (DESCRIBE customer)
                          UNION ALL VALUES ('TABLE', 'CUSTOMER'), ('TYPE', 'PARQUET'), ('PARTITIONS', '2'), ('NROWS', '1500'), ('AVG_ROW_SIZE', '1')""",
+    "plan_graphs": "SELECT * FROM (VALUES ('syntax', 2, 1, 1), ('resolved', 2, 1, 1), ('logical', 2, 1, 1), ('physical', 2, 1, 2)) AS x(stage, tables, joins, aggregates)",
     "refused": "SELECT * FROM (VALUES " + ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', '{e}')" for t, e in REFUSED.items()) + ") AS x(statement, error)",
 }
