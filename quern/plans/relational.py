@@ -131,6 +131,8 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "any_sub": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9000.0)",
     "all_sub": "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT x.s_acctbal FROM supplier x WHERE x.s_nationkey = supplier.s_nationkey)",
     "all_sub_null": "SELECT p_partkey FROM part WHERE p_size > ALL (SELECT age FROM emp WHERE age < 40)",
+    "all_sub_other": "SELECT emp_id FROM emp WHERE NOT (salary >= ALL (SELECT x.salary FROM emp x WHERE x.emp_dept_id = emp.emp_dept_id AND x.age > 60))",
+    "any_sub_range": "SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey < s_nationkey - 20)",
     "any_grouped": "SELECT n_nationkey FROM nation WHERE n_nationkey = ANY (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) > 60)",
     "all_aggregate": "SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT max(o_totalprice) FROM orders GROUP BY o_orderstatus)",
     "scalar_sub": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) * 1.9",
