@@ -48,17 +48,21 @@ def combine(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("grp", "val").agg(F.sum("n").alias("n"))
 
 
-def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int = 250_000) -> DataFrame:
+def percentiles(summary: DataFrame, shares: Sequence[float], rows_per_task: int = 250_000, rows: int | None = None) -> DataFrame:
     """``grp``, ``percentile``, ``value``, ``group_rows`` for every group and share.
 
     The percentile p of n values is the order statistic at position p * (n - 1),
     with linear interpolation between neighbours, so that it is exact for an exact
-    summary. Groups of one value have it as every percentile. Values are not rounded.
+    summary. Groups of one value have it as every percentile. Values are not rounded. ``rows`` is about how many rows the summary has, where that is
+    known: it is then neither counted nor kept on disk before it is sorted.
     """
     if not shares or any(not 0 <= p <= 1 for p in shares):
         raise ValueError("shares must be between 0 and 1")
-    counted = cut_lineage(summary.select("grp", "val", "n"))
-    tasks = partitions_for(counted.count(), rows_per_task, least=2)
+    counted = summary.select("grp", "val", "n")
+    if rows is None:
+        counted = cut_lineage(counted)
+        rows = counted.count()
+    tasks = partitions_for(rows, rows_per_task, least=2)
     # the sort: equal (grp, val) pairs are one row, so ranges cut any group evenly
     sorted_rows = cut_lineage(counted.repartitionByRange(tasks, "grp", "val").select("*", F.spark_partition_id().alias("pid")))
     per_part = sorted_rows.groupBy("grp", "pid").agg(F.sum("n").alias("part_n"))
