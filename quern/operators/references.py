@@ -47,10 +47,10 @@ def orphan_references(
     never = F.lit(None).cast("timestamp_ntz")
     known = children.select(F.col(reference).cast("long").alias("k"), F.col(child_key).cast("long").alias("child"), F.col(time).cast("timestamp_ntz").alias("at"))
     tasks = F.coalesce("__tasks", F.lit(1).cast("long"))
-    # children without a key don't say which task they go to by it alone: the time deals them out, too
+    # copies of a child go to different tasks where they were read apart; the result is distinct
     refs = spread(known.where(F.col("k").isNotNull()), "k", parts).select(
         "k",
-        F.pmod(F.xxhash64("child", "at"), tasks).alias("salt"),
+        F.pmod(F.xxhash64("child", "at", F.spark_partition_id()), tasks).alias("salt"),
         F.lit(2).alias("kind"),
         "at",
         "child",

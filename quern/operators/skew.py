@@ -137,14 +137,12 @@ def skew_join(
     heavy = sorted({*l_tasks, *r_tasks})
     if not heavy:
         return joined(left, right, how)
-    # tasks of a key on each side: more than one on the side with more rows only
-    split = [(k, l_tasks.get(k, 1), r_tasks.get(k, 1)) for k in heavy]
-    sides = []
-    for df, column, at in ((left, key, 1), (right, other, 2)):
-        parts = [(x[0], 0, x[at] if x[at] >= x[3 - at] else 1) for x in split]
-        copies = [(x[0], 0, x[3 - at] if x[at] < x[3 - at] else 1) for x in split]
-        sides.append((df, column, parts, copies))
-    (l_df, l_key, l_deal, l_copy), (r_df, r_key, r_deal, r_copy) = sides
+    # rows of a key are dealt on the side that needs more tasks, and copied to each on the other
+    deal_left = {k: l_tasks.get(k, 1) >= r_tasks.get(k, 1) for k in heavy}
+    l_deal = [(k, 0, l_tasks.get(k, 1) if deal_left[k] else 1) for k in heavy]
+    r_deal = [(k, 0, 1 if deal_left[k] else r_tasks[k]) for k in heavy]
+    l_copy, r_copy = [(k, 0, n) for k, _, n in r_deal], [(k, 0, n) for k, _, n in l_deal]
+    l_df, l_key, r_df, r_key = left, key, right, other
     hot_left = l_df.join(_table(l_df, l_key, l_deal), F.col(l_key) == F.col("__hot_key")).drop("__hot_key")
     hot_right = r_df.join(_table(r_df, r_key, r_deal), F.col(r_key) == F.col("__hot_key")).drop("__hot_key")
     cold_left = l_df.join(_table(l_df, l_key, l_deal), F.col(l_key) == F.col("__hot_key"), "left_anti")
@@ -156,7 +154,9 @@ def skew_join(
 
     def dealt(df: DataFrame, column: str, names: list[str], copies: list[tuple], out: str) -> DataFrame:
         """Rows with the task of their key: one of its ``__tasks``, or each where the other side is dealt."""
-        mine = F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.col("__tasks")).cast("long")
+        plain = [F.col(c) for c in names if "map<" not in dict(df.dtypes)[c]]
+        # copies of a row are apart where they were read apart
+        mine = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.col("__tasks")).cast("long")
         renamed = _table(df, column, copies, "__copy_key").withColumnRenamed("__tasks", "__copies")
         with_copies = df.join(renamed, F.col(column) == F.col("__copy_key")).drop("__copy_key")
         each = F.when(F.col("__copies") > 1, F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).otherwise(F.array(mine))

@@ -47,6 +47,20 @@ def test_skew_join_equals_plain_join(spark):
                 assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.select(got.columns).collect()))
 
 
+def test_skew_join_of_two_sides_that_are_as_heavy(spark):
+    left = spark.createDataFrame([(i % 2, i) for i in range(60)], "k long, v long")
+    right = spark.createDataFrame([(i % 2, i) for i in range(60)] + [(7, 7)], "k long, w long")
+    got = skew.skew_join(left, right, "k", rows_per_task=10, broadcast_rows=0)
+    assert sorted(map(tuple, got.collect())) == sorted((a % 2, a, b) for a in range(60) for b in range(60) if a % 2 == b % 2)
+
+
+def test_copies_of_one_row_are_dealt_apart(spark):
+    left = spark.range(0, 4000, 1, 8).select(F.lit(1).cast("long").alias("k"), F.create_map(F.lit("a"), F.lit("b")).alias("m"))
+    right = spark.createDataFrame([(1, "x")] * 3, "k long, w string")
+    got = skew.skew_join(left, right, "k", rows_per_task=500, broadcast_rows=0)
+    assert got.count() == 12_000 and skew.heavy_parts(left, "k", 500)[0] == [(1, 4000, 8)]
+
+
 def test_no_task_of_a_dealt_join_has_many_more_rows_than_wanted(spark):
     """One key holds 1 % of the rows, far below any share, and both sides are too large to broadcast."""
     n = 40_000
