@@ -176,6 +176,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "setop_ordered": "SELECT n_name AS w FROM nation UNION ALL SELECT r_name FROM region ORDER BY w DESC",
     # derived tables and common expressions
     "derived_table": "SELECT d.o_custkey, d.n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) AS d WHERE d.n > 20",
+    "derived_unnamed": "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 20",
     "cte": "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000.0) SELECT count(*) AS n, max(o_totalprice) AS high FROM big",
     "cte_multi": "WITH a AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000.0), b AS (SELECT c_nationkey, count(*) AS n FROM a GROUP BY c_nationkey) SELECT n_name, b.n FROM b, nation WHERE b.c_nationkey = n_nationkey",
     "cte_recursive": (

@@ -61,6 +61,12 @@ def test_set_operators_lean_left(job):
     assert [r[0] for r in job.query("select unit_id as k from units union all select parent from units order by k desc").collect()] == [8, 7, 7, 3, 2, 1]
 
 
+def test_derived_tables_without_an_alias(job):
+    assert rows(job, "select name from (select name, age from staff) where age > 50") == [("ada",), ("dan",)]
+    assert rows(job, "select name, label from (select name, unit from staff where age > 60), (select unit_id, label from units) where unit = unit_id") == [("ada", "North")]
+    assert rows(job, "select name from staff where unit = 1 union select name from (select name, age from staff) where age < 33") == [("ada",), ("bob",)]
+
+
 def test_subqueries(job):
     assert rows(job, "select name from staff where age = (select max(age) from staff) and exists (select count(*) from staff where age >= 25)") == [("ada",)]
     assert rows(job, "with old as (select name from staff where age > 50) select * from old") == [("ada",), ("dan",)]
@@ -88,7 +94,7 @@ def test_numbers_in_group_by_are_constants(job):
 
 @pytest.mark.parametrize(
     "text",
-    ["select", "select a from", "select from t", "select a from t where", "select a b from t", "select a from (select b from t)", "catalog table t ()", "describe t", "select a from t group a", "select 'a from t", "selec a from t", "select a from t limit 3", "select a-1b from t", "select a from t;; x"],
+    ["select", "select a from", "select from t", "select a from t where", "select a b from t", "select a from (select b from t) as", "catalog table t ()", "describe t", "select a from t group a", "select 'a from t", "selec a from t", "select a from t limit 3", "select a-1b from t", "select a from t;; x"],
 )
 def test_syntax_errors(text):
     with pytest.raises(SyntaxProblem):
@@ -106,7 +112,7 @@ def test_error_position():
     [
         "select 1 from t", "select a.*, b from s.t as a, u b", "select top 5 distinct a from t order by a desc, b",
         "select a from t where not (a = 1 and b <> 2) or c != 3", "select a from t where a is not null and b not like 'x' and c not in (1, 2)",
-        "select a from t inner join u on a = b full outer join v on c = d", "select a from (t join u on a = b) right join v on b = c",
+        "select a from t inner join u on a = b full outer join v on c = d", "select a from (t join u on a = b) right join v on b = c", "select a from (select b from t)", "select * from t u, (select a from t), (select b from t) where a = b",
         "select a from t left join u left join v on b = c on a = b",
         "(select a from t) union all select b from u except select c from v", "with a as (select b from t), c as (select d from a) select * from c",
         "select min(a), max(distinct b), count(*), avg(-c * .5) from t", "select cast(a as float64), f(), g(a, 1) from t",
