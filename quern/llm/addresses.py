@@ -80,7 +80,7 @@ def read_town(town: str | None) -> str:
     if not town:
         return ""
     text = fold(town)
-    text = re.sub(r"\(.*?\)|,.*$|[- ](?:centre|center|zentrum|centro)\b", " ", text)
+    text = re.sub(r"\([^()]*\)|,.*$|[- ](?:centre|center|zentrum|centro)\b", " ", text)
     words = [w for w in re.split(r"[^a-z]+", text) if w and w != "cedex"]
     short = "".join(TOWN_WORDS.get(w, w) for w in words)
     return f"{short}/{''.join(words)}" if words else ""
@@ -100,7 +100,7 @@ def read_address(address: str | None, city: str | None, postcode: str | None) ->
         code = code or m.group().replace(" ", "").replace("-", "").removeprefix("s")
         town = town or read_town(text[m.end() :].strip(" ,"))
         text = text[: m.start()]
-    text = re.sub(r"\(.*?\)", " ", text)
+    text = re.sub(r"\([^()]*\)", " ", text)
     text = UNIT.sub(" ", text)
     text = re.sub(r"\bc/\s*", "calle ", text)
     m = HOUSE.search(text)

@@ -29,6 +29,9 @@ TRADE_SHARE = 0.02
 LATE_SHARE = 0.005
 #: Different first words that a trade must have at least, whatever the share.
 LEAST_FIRSTS = 8
+#: Names of more words than this are read as they stand: in their order, and nicknames as written. Others have
+#: a reading for each word they may begin with, and for each name that a nickname may stand for.
+MOST_WORDS = 8
 #: Words up to this length with one letter changed are often other words (John, Joan).
 SHORT_WORD = 5
 #: ... unless one of the two is so many times as frequent as the other, which then is a slip.
@@ -315,7 +318,7 @@ def read_company(name: str, trades: Trades) -> dict | None:
         words = [w for w in words if w]
     if not words:
         return None
-    forms = {"".join(words[i:] + words[:i]) for i in range(len(words))}
+    forms = {"".join(words[i:] + words[:i]) for i in range(len(words) if len(words) <= MOST_WORDS else 1)}
     first = "".join(words)
     if halves:
         forms |= {first + halves[0], words[1] + halves[0] + words[0]}
@@ -352,7 +355,7 @@ def read_contact(name: str, nicknames: Mapping[str, list[str]] = NICKNAMES) -> d
             if len(stands_for) > 1:  # it depends on who else is there
                 short, whole = f"{'/'.join(sorted(stands_for))}||n", words[1 - k]
                 break
-    options = [nicknames.get(w, [w]) for w in words]
+    options = [nicknames.get(w, [w]) if len(words) <= MOST_WORDS else [w] for w in words]
     forms = set()
     core = " ".join(words) if short and short.endswith("n") else None  # not that of one of the names it may stand for
     for choice in _choices(options):
@@ -452,7 +455,7 @@ def link_names(names: DataFrame, k: int = 2, trade_words: Iterable[str] = TRADE_
     names they stand for; see ``accepted`` for short words. A nickname that may stand for two names counts as a shortened one. Firms whose trades are known and differ are not linked; one
     of unknown trade joins those it fits best, and none of them if these differ. A spelling with an initial or a cut-off word joins the class
     that its whole word leads to, if there is exactly one such class; else it stays apart, together with equally
-    shortened ones. Null and blank names are left out, repeated rows count once, other columns are not read.
+    shortened ones. Names of more than MOST_WORDS words are compared as they stand. Null and blank names are left out, repeated rows count once, other columns are not read.
 
     Words for trades are learnt from the names (``learn_trades``); ``trade_words`` are
     added to them. ``nicknames`` has the names that a short form may stand for. ``k`` bounds the

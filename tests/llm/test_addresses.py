@@ -107,6 +107,15 @@ def test_cosines_do_not_depend_on_the_size_of_the_table():
     assert A.cosines(a, a, shares)[0] == 1.0 or abs(A.cosines(a, a, shares)[0] - 1) < 1e-9
 
 
+def test_very_long_addresses_are_read_in_time():
+    import time
+
+    began = time.perf_counter()
+    assert A.read_address("(" * 50_000 + "12 Main", "(x" * 20_000, None)[2] == "12"
+    assert A.read_address("12 " + "Mainflat 3 bldg. street, " * 20_000, "Town " * 20_000, "12345" * 5000)
+    assert time.perf_counter() - began < 10
+
+
 def test_empty(spark):
     assert classes(spark, []) == []
 

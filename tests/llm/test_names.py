@@ -85,6 +85,13 @@ def test_very_long_and_odd_names():
     assert N.read_company("&&", trades) is None and N.read_contact(".") is None
     assert N.read_company("Ltd", trades)["core"] == "ltd"
     assert N.read_company("北京 茶馆", trades)["core"]
+    assert len(N.read_company("ab " * 5000, trades)["forms"]) == 1 and len(N.read_contact("Pat " * 5000)["forms"]) == 1
+
+
+def test_very_long_names_in_the_join(spark):
+    long = "varlo stonegate " * 3000
+    got = classes(spark, "company", [long, long + "x", "Varlo Stonegate", long.replace("gate", "gaet", 1)])
+    assert sorted(map(len, got)) == [1, 3]
 
 
 def test_persons_with_short_given_names_that_differ_by_a_letter_stay_apart(spark):
