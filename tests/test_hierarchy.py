@@ -71,6 +71,14 @@ def test_random_forests(spark, limit):
     assert got == brute(rows)
 
 
+def test_both_ways_count_the_same_descendants(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([None, rnd.randrange(90), max(i - 1, 0), i // 2])) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, up long")
+    walked, doubled = (as_dict(H.hierarchy(df, "id", "up", max_component_rows=n)) for n in (1000, 1))
+    assert walked == doubled and max(x[3] for x in walked.values()) > 5
+
+
 def test_deep_line(spark):
     rows = [(i, i - 1 if i else None) for i in range(300)]
     for limit in (1000, 10):
